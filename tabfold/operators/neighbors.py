@@ -75,7 +75,7 @@ def best_in_chunk(
         squared = np.empty(len(i))
         for at in range(0, len(i), 65536):
             gap = block[i[at : at + 65536]] - train[j[at : at + 65536]]
-            squared[at : at + 65536] = np.einsum("ij,ij->i", gap, gap)
+            squared[at : at + 65536] = (gap * gap).sum(axis=1)
         dist = np.sqrt(squared)
         order = np.lexsort((j, dist, i))
         i, j, dist = i[order], j[order], dist[order]
