@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NO_ANSWER = -1
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number_text(value: Column, kind: T.DataType) -> Column:
     """Text of a value as a scripting language prints it: ``1.0``, ``12345678.5``, ``1e-05``, ``nan``."""
     if not isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -84,27 +91,33 @@ def extract_first_json(text: Column) -> Column:
     )
 
 
-def parse_answer(reply: Column, labels: Column | None = None) -> Column:
-    """Class number in a reply, -1 when it cannot be read.
+def parse_answer(replies: DataFrame, reply: str, *, labels: Column | None = None, name: str = "pred") -> DataFrame:
+    """Add the class number found in a reply, -1 when it cannot be read.
 
     Needs a whole ``classification`` (number, numeric text or boolean) and a text ``reasoning``.  With
     ``labels`` the number must be one of them.
     """
-    answer = F.try_parse_json(extract_first_json(reply))
-    given = F.trim(F.try_variant_get(answer, "$.classification", "string"))
-    number = (
-        F.when(given.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.substring_index(given, ".", 1).try_cast("int"))
-        .when(given == "true", 1)
-        .when(given == "false", 0)
+    steps = replies.withColumn("_json", extract_first_json(F.col(reply))).withColumn(
+        "_answer", F.try_parse_json("_json")
     )
-    kind = F.schema_of_variant(F.try_variant_get(answer, "$.classification", "variant"))
+    steps = steps.select(
+        *replies.columns,
+        F.trim(F.try_variant_get("_answer", "$.classification", "string")).alias("_given"),
+        F.schema_of_variant(F.try_variant_get("_answer", "$.classification", "variant")).alias("_kind"),
+        F.schema_of_variant(F.try_variant_get("_answer", "$.reasoning", "variant")).alias("_reason"),
+    )
+    given = F.col("_given")
     # a boolean counts, the words true and false as text do not
-    number = F.when((kind == "STRING") & given.isin("true", "false"), F.lit(None)).otherwise(number)
-    reasoned = F.schema_of_variant(F.try_variant_get(answer, "$.reasoning", "variant")) == "STRING"
-    result = F.when(reasoned, number)
+    number = F.when(
+        F.col("_kind") == "BOOLEAN", F.when(given == "true", 1).otherwise(0)
+    ).when(given.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.substring_index(given, ".", 1).try_cast("int"))
+    steps = steps.withColumn("_number", F.when(F.col("_reason") == "STRING", number))
+    result = F.col("_number")
     if labels is not None:
         result = F.when(F.array_contains(labels, result), result)
-    return F.coalesce(result, F.lit(NO_ANSWER))
+    return steps.withColumn(name, F.coalesce(result, F.lit(NO_ANSWER))).select(
+        *[c for c in replies.columns if c != name], name
+    )
 
 
 def extract_all_json(text: Column) -> Column:

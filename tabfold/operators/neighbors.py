@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tabfold.operators.ranking import SEED, shuffle_key
 from tabfold.workspace import stage
 
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 16384
 BLOCK_ROWS = 16384
+PAIRS_PER_BLOCK = 1 << 23
 MAX_CHUNKS = 65536
 MAX_PIVOTS = 256
 RING_GRID = 64
@@ -182,7 +183,9 @@ def k_nearest(
     train_count = right.count()
     test_count = left.count()
     if train_count <= chunk_rows:
-        blocks = max(1, math.ceil(test_count / block_rows))
+        # enough blocks to use the cluster, and none larger than a block may be
+        spread = min(4 * test.sparkSession.sparkContext.defaultParallelism, test_count * train_count // PAIRS_PER_BLOCK)
+        blocks = max(1, spread, math.ceil(test_count / block_rows))
         cell = F.pmod(F.xxhash64("test_id"), F.lit(blocks)).alias("cell")
         copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("cell")
         found = _search(left.select("*", cell), right.select("*", copies), fields, k)

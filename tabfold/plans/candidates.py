@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabfold.functions import prompts
 from tabfold.functions.numbers import clamp_float, clamp_int
-from tabfold.functions.text import METADATA_KEYS, extract_all_json
+from tabfold.functions.text import METADATA_KEYS, extract_all_json, once
 
 # Models, and per hyperparameter its kind, bounds and default.
 MODELS = ["lr", "rf", "hgb", "knn"]
@@ -84,16 +84,20 @@ def _usable(item: Column, strict_why: bool) -> Column:
 def _read(block: Column) -> Column:
     """What one JSON value offers: ``state`` 0 nothing, 1 candidates, 2 an error that voids the reply."""
 
-    def from_list(items: Column, strict: bool) -> Column:
-        with_model = F.filter(
+    def with_model(items: Column) -> Column:
+        return F.filter(
             items, lambda c: _kind(c).startswith("OBJECT") & (_kind(_part(c, "model")) != "ABSENT")
         )
-        broken = F.exists(with_model, lambda c: ~_usable(c, strict))
-        return F.when(
-            F.size(with_model) > 0,
-            F.struct(
-                F.when(broken, 2).otherwise(1).alias("state"),
-                F.transform(with_model, lambda c: _candidate(c, "why")).alias("found"),
+
+    def from_list(items: Column, strict: bool) -> Column:
+        return once(
+            with_model(items),
+            lambda known: F.when(
+                F.size(known) > 0,
+                F.struct(
+                    F.when(F.exists(known, lambda c: ~_usable(c, strict)), 2).otherwise(1).alias("state"),
+                    F.transform(known, lambda c: _candidate(c, "why")).alias("found"),
+                ),
             ),
         )
 
@@ -114,27 +118,31 @@ def _read(block: Column) -> Column:
 
 
 def _echo(block: Column) -> Column:
+    """An object with one of the metadata keys."""
     keys = [_kind(_part(block, k)) != "ABSENT" for k in METADATA_KEYS]
-    return F.greatest(*keys)
+    return F.coalesce(keys[0] | keys[1] | keys[2] | keys[3], F.lit(False))
 
 
-def read_candidates(reply: Column) -> Column:
-    """Array of ``model, hp, why`` proposed by a reply, null when it gives no valid set.
+def read_candidates(replies: DataFrame, reply: str, name: str = "found") -> DataFrame:
+    """Add the array of ``model, hp, why`` proposed by a reply, null when it gives no valid set.
 
     The first JSON object that offers something decides; echoes of the metadata are passed over.  All
-    work stays inside the row.
+    work stays inside the row; the steps are columns of their own so that none is computed twice.
     """
-    blocks = F.filter(
-        F.transform(extract_all_json(reply), lambda b: F.try_parse_json(b)),
-        lambda v: v.isNotNull(),
+    parsed = F.filter(
+        F.transform("_blocks", lambda b: F.try_parse_json(b)), lambda v: v.isNotNull() & ~_echo(v)
+    )
+    whole = F.when(F.col("_whole").isNotNull() & ~_echo(F.col("_whole")), F.array("_whole"))
+    steps = replies.withColumn("_blocks", extract_all_json(F.col(reply)))
+    steps = steps.withColumn("_parsed", parsed).withColumn(
+        "_whole", F.when(F.size("_parsed") == 0, F.try_parse_json(F.col(reply)))
+    )
+    steps = steps.withColumn("_values", F.when(F.size("_parsed") > 0, F.col("_parsed")).otherwise(whole))
+    offers = F.filter(F.transform("_values", _read), lambda o: o["state"] > 0)
+    steps = steps.withColumn("_first", F.get(offers, F.lit(0)))
+    return steps.withColumn(name, F.when(F.col("_first.state") == 1, F.col("_first.found"))).select(
+        *replies.columns, name
     )
-    blocks = F.filter(blocks, lambda v: ~_echo(v))
-    whole = F.try_parse_json(reply)
-    whole_array = F.when(whole.isNotNull() & ~_echo(whole), F.array(whole))
-    blocks = F.when(F.size(blocks) > 0, blocks).otherwise(whole_array)
-    offers = F.filter(F.transform(blocks, _read), lambda o: o["state"] > 0)
-    first = F.get(offers, F.lit(0))
-    return F.when(first["state"] == 1, first["found"])
 
 
 def _literal(rows: list[tuple[str, str, str]]) -> Column:
@@ -148,26 +156,30 @@ def parse_candidates(replies: DataFrame, reply: str, *, defaults: bool = False)
 
     With ``defaults`` a reply without a valid set yields the safe default candidates.
     """
-    found = read_candidates(F.col(reply))
-    if defaults:
-        found = F.coalesce(found, _literal(DEFAULTS))
+    read = read_candidates(replies, reply, "_found")
+    found = F.coalesce("_found", _literal(DEFAULTS)) if defaults else F.col("_found")
     rest = [c for c in replies.columns if c != reply]
-    exploded = replies.select(*rest, F.posexplode(found).alias("ord", "c"))
+    # the outer form: the plain one tests the array first, and the optimizer would push that test,
+    # with all the reading in it, below the steps above
+    exploded = read.select(*rest, F.posexplode_outer(found).alias("ord", "c")).filter("ord is not null")
     return exploded.select(*rest, "ord", "c.*")
 
 
-def _int_text(hp: Column, key: str) -> Column:
+def _int_text(given: Column) -> Column:
     """Text that ``clamp_int`` may read: numbers lose their fraction, booleans are 1 and 0."""
-    text, kind = _text(hp, key), _kind(_part(hp, key))
+    text, kind = given["text"], given["kind"]
     return (
-        F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0"))
-        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.substring_index(text.try_cast("decimal(38,6)").cast("string"), ".", 1))
-        .when(kind.isin("BIGINT", "STRING"), text)
+        F.when(kind.isin("BIGINT", "STRING"), text)
+        .when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0"))
+        .when(
+            kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"),
+            F.substring_index(text.try_cast("decimal(38,6)").cast("string"), ".", 1),
+        )
     )
 
 
-def _float_text(hp: Column, key: str) -> Column:
-    text, kind = _text(hp, key), _kind(_part(hp, key))
+def _float_text(given: Column) -> Column:
+    text, kind = given["text"], given["kind"]
     return (
         F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0"))
         .when(kind == "STRING", F.when(~text.rlike("[0-9.][dDfF]$"), text))
@@ -175,36 +187,46 @@ def _float_text(hp: Column, key: str) -> Column:
     )
 
 
-def sanitized(model: Column, hp: Column, n_rows: Column) -> Column:
-    """Hyperparameters as JSON with sorted keys: unknown keys gone, values in bounds, gaps filled.
-
-    A projection: the few bounds are constants of the expression.
-    """
-    given = F.try_parse_json(hp)
-
-    def value(key: str, spec: tuple) -> Column:
-        kind, low, high, default = spec
-        if kind == "word":
-            word = F.when(_kind(_part(given, key)) == "STRING", _text(given, key))
-            return F.when(word.isin(low), word).otherwise(F.lit(default).cast("string"))
-        if kind == "float":
-            return clamp_float(_float_text(given, key), low, high, default)
-        return clamp_int(_int_text(given, key), low, high, default)
-
-    largest_k = F.greatest(F.lit(3), F.least(F.lit(100), (F.sqrt(F.greatest(n_rows, F.lit(1))) * 3).cast("int")))
-    result = None
-    for name, keys in BOUNDS.items():
-        values = {k: value(k, spec) for k, spec in keys.items()}
-        if name == "knn":
-            k = values["n_neighbors"]
-            values["n_neighbors"] = F.when(k.between(3, largest_k), k).otherwise(F.least(F.lit(31), largest_k))
-        text = F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})
-        result = F.when(model == name, text) if result is None else result.when(model == name, text)
-    return result.otherwise(F.lit("{}"))
+def _bounded(given: Column, spec: tuple) -> Column:
+    kind, low, high, default = spec
+    if kind == "word":
+        fits = (given["kind"] == "STRING") & given["text"].isin(low)
+        return F.when(fits, given["text"]).otherwise(F.lit(default).cast("string"))
+    if kind == "float":
+        return clamp_float(_float_text(given), low, high, default)
+    return clamp_int(_int_text(given), low, high, default)
 
 
 def sanitize_candidates(candidates: DataFrame, n_rows: str) -> DataFrame:
-    return candidates.withColumn("hp", sanitized(F.col("model"), F.col("hp"), F.col(n_rows)))
+    """``hp`` as JSON with sorted keys: unknown keys gone, values in bounds, gaps filled.
+
+    Projections only: the few bounds are constants of the expressions.
+    """
+    keys = {k: spec for specs in BOUNDS.values() for k, spec in specs.items()}
+    steps = candidates.withColumn("_given", F.try_parse_json("hp"))
+    steps = steps.select(
+        *candidates.columns,
+        *[
+            F.struct(_kind(_part(F.col("_given"), k)).alias("kind"), _text(F.col("_given"), k).alias("text")).alias(f"_{k}")
+            for k in keys
+        ],
+    )
+    root = F.sqrt(F.greatest(F.col(n_rows), F.lit(1)))
+    steps = steps.select(
+        *candidates.columns,
+        *[_bounded(F.col(f"_{k}"), spec).alias(f"_{k}") for k, spec in keys.items()],
+        F.greatest(F.lit(3), F.least(F.lit(100), (root * 3).cast("int"))).alias("_largest_k"),
+    )
+    k = F.col("_n_neighbors")
+    steps = steps.withColumn(
+        "_n_neighbors", F.when(k.between(3, F.col("_largest_k")), k).otherwise(F.least(F.lit(31), "_largest_k"))
+    )
+    text = None
+    for name, specs in BOUNDS.items():
+        fields = F.struct(*[F.col(f"_{key}").alias(key) for key in specs])
+        shown = F.to_json(fields, {"ignoreNullFields": "false"})
+        text = F.when(F.col("model") == name, shown) if text is None else text.when(F.col("model") == name, shown)
+    return steps.withColumn("hp", text.otherwise(F.lit("{}"))).select(*candidates.columns)
 
 
 def baselines(groups: DataFrame, n_rows: str, max_prior: str) -> DataFrame:

@@ -139,7 +139,7 @@ def rag_prompts(stored: DataFrame, test: DataFrame, embed: Embed, *, k: int = 3)
 def _answers(prompted: DataFrame, complete: Complete, checked: bool) -> DataFrame:
     labels = F.col("labels") if checked else None
     replied = score_prompts(prompted, complete)
-    return replied.select("row_id", parse_answer(F.col("reply"), labels).alias("pred"))
+    return parse_answer(replied, "reply", labels=labels).select("row_id", "pred")
 
 
 def classify_zero_shot(train: DataFrame, test: DataFrame, complete: Complete, *, context_rows: int = 0) -> DataFrame:

@@ -15,7 +15,7 @@ from tabfold.operators.evaluation import best_candidate, fold_accuracy, leaderbo
 from tabfold.operators.neighbors import k_nearest, vote_distance, vote_uniform
 from tabfold.operators.profiling import schema_card
 from tabfold.operators.sampling import stratified_cap, stratified_kfold, test_rows, train_rows
-from tabfold.plans.candidates import FALLBACK, candidate_pool, parse_candidates, prompt_candidates, sanitized
+from tabfold.plans.candidates import FALLBACK, candidate_pool, parse_candidates, prompt_candidates, sanitize_candidates
 from tabfold.plans.prompting import Complete, score_prompts
 from tabfold.workspace import stage
 
@@ -100,9 +100,8 @@ def choose(scores: DataFrame) -> tuple[str, str, str]:
     spark = scores.sparkSession
     best = best_candidate(scores).first()["best"]
     if best is None:
-        fallback = spark.createDataFrame([FALLBACK], "model string, hp string")
-        hp = fallback.select(sanitized(F.col("model"), F.col("hp"), F.lit(1)).alias("hp")).first()["hp"]
-        model = FALLBACK[0]
+        fallback = spark.createDataFrame([(*FALLBACK, 1)], "model string, hp string, n_rows bigint")
+        model, hp, _ = sanitize_candidates(fallback, "n_rows").first()
     else:
         model, hp = best["model"], best["hp"]
     board = [[r["model"], r["score"]] for r in leaderboard(scores).orderBy("place").collect()]

@@ -76,14 +76,13 @@ def extract_first_json(spark, folder):
 
 
 def parse_answer(spark, folder):
-    return replies(spark, folder).select("o_orderkey", X.parse_answer(F.col("reply")).cast("bigint").alias("pred"))
+    return X.parse_answer(replies(spark, folder), "reply").select("o_orderkey", F.col("pred").cast("bigint").alias("pred"))
 
 
 def parse_answer_checked(spark, folder):
     labels = F.array(*[F.lit(i) for i in range(3)])
-    return replies(spark, folder).select(
-        "o_orderkey", X.parse_answer(F.col("reply"), labels).cast("bigint").alias("pred")
-    )
+    parsed = X.parse_answer(replies(spark, folder), "reply", labels=labels)
+    return parsed.select("o_orderkey", F.col("pred").cast("bigint").alias("pred"))
 
 
 def extract_all_json(spark, folder):
@@ -92,8 +91,9 @@ def extract_all_json(spark, folder):
         F.when(F.col("o_orderkey") % 3 == 0, '{"c": 1}').otherwise("nothing"),
         F.lit(" tail {open "), "o_orderpriority",
     )
-    found = table(spark, folder, "orders").select("o_orderkey", F.posexplode(X.extract_all_json(text)).alias("place", "block"))
-    return found.withColumn("place", F.col("place").cast("bigint"))
+    blocks = table(spark, folder, "orders").select("o_orderkey", X.extract_all_json(text).alias("blocks"))
+    found = blocks.select("o_orderkey", F.posexplode_outer("blocks").alias("place", "block"))
+    return found.filter("place is not null").withColumn("place", F.col("place").cast("bigint"))
 
 
 def clamp_int(spark, folder):
