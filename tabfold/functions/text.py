@@ -21,7 +21,7 @@ def number_text(value: Column, kind: T.DataType) -> Column:
     text = value.cast("string")
     size = F.abs(value)
     plain = F.regexp_replace(
-        F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0"
+        F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0"
     )
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     power = F.substring_index(text, "E", -1).try_cast("int")
