@@ -25,7 +25,8 @@ def number_text(value: Column, kind: T.DataType) -> Column:
     )
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     power = F.substring_index(text, "E", -1).try_cast("int")
-    power_text = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    digits = F.concat(F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    power_text = F.concat(F.when(power < 0, "-").otherwise("+"), digits)
     return (
         F.when(value.isNull() | F.isnan(value), "nan")
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
