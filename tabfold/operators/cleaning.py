@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabfold.functions.text import row_json
 from tabfold.operators.ranking import rank_by_value
 
-MAX_CATEGORIES = 1000
+MAX_CATEGORIES = 512
 TOP_N_ROWS = 10_000
 
 
@@ -251,17 +251,17 @@ def standardize_folds(folded: DataFrame, folds: int, features: str = "features")
     parts = feature_stats(folded, features, ["fold"])
     split = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("split")
     trained = parts.select("*", split).filter(F.col("split") != F.col("fold"))
+    # folds x folds x features rows from here on
     both = ["split", "pos"]
-    mean = trained.groupBy(*both).agg(
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all_mean"), F.sum("n").alias("all_n")
-    )
+    whole = Window.partitionBy(*both)
     merged = (
-        trained.join(mean, both)
+        trained.withColumn("all_n", F.sum("n").over(whole))
+        .withColumn("all_mean", F.sum(F.col("n") * F.col("mean")).over(whole) / F.col("all_n"))
         .withColumn("off", F.col("mean") - F.col("all_mean"))
         .groupBy(*both)
         .agg(
             F.first("all_mean").alias("mean"),
-            F.sum(F.col("n") * (F.col("var") + F.col("off") * F.col("off")) / F.col("all_n")).alias("var"),
+            F.sum(F.col("n") / F.col("all_n") * (F.col("var") + F.col("off") * F.col("off"))).alias("var"),
         )
     )
     scale = _scale_arrays(merged, ["split"])  # one row per fold

@@ -96,6 +96,7 @@ class _Fields:
     train_id: T.DataType
     group: T.DataType | None
     payload: T.DataType | None
+    with_features: bool = False
 
     def result(self) -> T.StructType:
         fields = [
@@ -105,6 +106,8 @@ class _Fields:
         ]
         if self.payload is not None:
             fields.append(T.StructField("payload", self.payload))
+        if self.with_features:
+            fields.append(T.StructField("train_features", T.ArrayType(T.DoubleType())))
         return T.StructType(fields)
 
 
@@ -126,6 +129,8 @@ def _compare(schema: T.StructType, k: int, grouped: bool):
         }
         if "payload" in names:
             columns["payload"] = found["payload"]
+        if "train_features" in names:
+            columns["train_features"] = found["features"]
         return pa.table({n: columns[n] for n in names})
 
     return kernel
@@ -156,15 +161,17 @@ def k_nearest(
     features: str = "features",
     payload: str | None = None,
     group: str | None = None,
+    with_features: bool = False,
     chunk_rows: int = CHUNK_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest train rows of every test row: ``test_id, train_id, dist, rank[, payload]``.
 
     Euclidean distance on the raw features, ties to the smaller ``train_id``.  ``payload`` is a train
-    column to carry along (a label).  With ``group``, an integer column of both frames, rows of equal
+    column to carry along (a label), ``with_features`` adds the neighbour's ``train_features``; neither
+    needs a join, which popular neighbours would skew.  With ``group``, an integer column of both frames, rows of equal
     group are not compared: on a table with its fold number this searches every fold's training part
-    in one job.
+    in one job.  Both frames are read more than once; stage them if they are costly to compute.
     """
     group_column = [F.col(group).cast("bigint").alias("grp")] if group else []
     left = test.select(F.col(test_id).alias("test_id"), _as_doubles(features), *group_column)
@@ -179,6 +186,7 @@ def k_nearest(
         right.schema["train_id"].dataType,
         left.schema["grp"].dataType if group else None,
         right.schema["payload"].dataType if payload else None,
+        with_features,
     )
     train_count = right.count()
     test_count = left.count()
@@ -347,10 +355,11 @@ def _visit(routed: DataFrame, chunked: DataFrame, fields: _Fields, k: int, block
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias("_blocks")
     )  # at most MAX_CHUNKS rows
     block = F.pmod(F.xxhash64("test_id"), F.col("_blocks"))
-    left = visits.join(asked, "_chunk").withColumn("cell", F.concat_ws(":", "_chunk", block))
+    # bounded by MAX_CHUNKS, hence the broadcasts
+    left = visits.join(F.broadcast(asked), "_chunk").withColumn("cell", F.concat_ws(":", "_chunk", block))
     copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     right = (
-        chunked.join(asked, "_chunk")
+        chunked.join(F.broadcast(asked), "_chunk")
         .withColumn("_block", copies)
         .withColumn("cell", F.concat_ws(":", "_chunk", "_block"))
     )
@@ -388,7 +397,11 @@ def _winner(votes: DataFrame) -> DataFrame:
 
 
 def neighbor_rows(neighbors: DataFrame, train: DataFrame, train_id: str, columns: list[str]) -> DataFrame:
-    """Join the wanted train columns to each neighbour."""
+    """Join further train columns to each neighbour.
+
+    A train row near to many test rows makes its key hot on the neighbours' side only, where Spark's
+    skew join splits it.
+    """
     wanted = train.select(F.col(train_id).alias("train_id"), *columns)
     return neighbors.drop("payload").join(wanted, "train_id")
 

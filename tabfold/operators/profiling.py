@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabfold.operators.ranking import rank_by_value
 
+MAX_LABELS = 100_000
+
 # Names of the column types in a profile.
 DTYPE_NAMES = {
     "boolean": "bool",
@@ -27,8 +29,11 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_space(df: DataFrame, label: str) -> DataFrame:
-    """All labels as one sorted array."""
-    return label_counts(df, label).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    """All labels as one sorted array; refuses a column with too many values to be a class label."""
+    some = label_counts(df, label).select("label").limit(MAX_LABELS + 1)
+    labels = F.array_sort(F.collect_list("label"))
+    many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))
+    return some.agg(F.when(F.count("label") > MAX_LABELS, many).otherwise(labels).alias("labels"))
 
 
 def class_priors(df: DataFrame, label: str) -> DataFrame:

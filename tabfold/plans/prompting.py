@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabfold.functions import prompts
 from tabfold.functions.text import features_json, features_text, parse_answer
-from tabfold.operators.neighbors import k_nearest, neighbor_lists, neighbor_rows
+from tabfold.operators.neighbors import k_nearest, neighbor_lists
 from tabfold.operators.profiling import label_space
 from tabfold.operators.sampling import class_prototypes, context_sample
 from tabfold.operators.vectors import vector_topk
@@ -101,13 +101,14 @@ def few_shot_prompts(train: DataFrame, test: DataFrame, *, per_class: int = 2, m
 
 def hybrid_prompts(train: DataFrame, test: DataFrame, *, k: int = 3, group: str | None = None) -> DataFrame:
     """Prompts that show each test row its k nearest training rows."""
-    found = k_nearest(test, train, k, test_id="row_id", train_id="row_id", group=group)
-    rows = neighbor_rows(found, train, "row_id", ["features", "label"])
-    lists = neighbor_lists(rows, ["features", "label"])
+    found = k_nearest(
+        test, train, k, test_id="row_id", train_id="row_id", payload="label", group=group, with_features=True
+    )
+    lists = neighbor_lists(found, ["train_features", "payload"])
     shown = F.concat(
         F.lit("["),
         F.array_join(
-            F.transform("neighbors", lambda n: features_json(n["features"], label=n["label"])), ","
+            F.transform("neighbors", lambda n: features_json(n["train_features"], label=n["payload"])), ","
         ),
         F.lit("]"),
     )

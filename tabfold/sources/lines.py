@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabfold.workspace import stage
 
+BROADCAST_BLOCKS = 100_000
+
 LOCATOR = ["_file", "_block", "_seq"]
 
 
@@ -32,7 +34,7 @@ def number_rows(located: DataFrame, name: str = "row_id") -> DataFrame:
     files = block.groupBy("_file").agg(F.sum("_n").alias("_file_n"))
     earlier_files = Window.partitionBy(F.lit(1)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     earlier_blocks = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = block.join(
+    starts = stage(block.join(
         files.select("_file", F.coalesce(F.sum("_file_n").over(earlier_files), F.lit(0)).alias("_before")),
         "_file",
     ).select(
@@ -41,7 +43,10 @@ def number_rows(located: DataFrame, name: str = "row_id") -> DataFrame:
         (F.col("_before") + F.coalesce(F.sum("_n").over(earlier_blocks), F.lit(0)) - F.col("_first")).alias(
             "_shift"
         ),
-    )
+    ), "blocks")
+    # without a broadcast all rows of a block meet in one task, and an unsplit file is one block
+    if starts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
     return staged.join(starts, ["_file", "_block"]).select(
         (F.col("_seq") + F.col("_shift")).alias(name),
         *[F.col(f"`{c}`") for c in staged.columns if c not in LOCATOR],
