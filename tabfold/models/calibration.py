@@ -130,7 +130,8 @@ def calibrate(
         scored = stage(model.score(test_rows(folded, fold).drop("fold")).select("label", "probabilities"), "scores")
         calibrators = []
         for at in [1] if len(labels) == 2 else range(len(labels)):
-            histogram = _histogram(scored, at, labels[at]).persist()
+            # BINS rows at most: one partition is enough for the passes of a fit
+            histogram = _histogram(scored, at, labels[at]).coalesce(1).persist()
             try:
                 learn = _fit_isotonic if method == "isotonic" else _fit_sigmoid
                 calibrators.append(learn(histogram))

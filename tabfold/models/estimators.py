@@ -8,6 +8,7 @@ no minimal split size, boosting grows level by level and has no L2 term.
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -22,6 +23,7 @@ from tabfold.operators.profiling import label_counts
 from tabfold.operators.ranking import SEED, shuffle_key
 
 MAX_CLASSES = 1000
+ROWS_PER_TASK = 20_000
 MAX_FOREST_DEPTH = 30
 DEFAULT_BOOST_DEPTH = 5  # about the 31 leaves of a leaf-wise learner
 VALIDATION_SHARE = 16  # one row in so many, by hash, judges early stopping
@@ -39,9 +41,15 @@ def _labels(labels: list) -> Column:
     return F.array(*[F.lit(v) for v in labels])
 
 
-def _coded(train: DataFrame, labels: list) -> DataFrame:
-    code = (F.array_position(_labels(labels), F.col("label")) - 1).cast("double")
-    return train.withColumn("_code", code).withColumn("_vector", array_to_vector("features"))
+def _coded(train: DataFrame, sizes: dict) -> DataFrame:
+    """Training frame with class codes and vectors.
+
+    Fits pass over it many times, and over few rows each pass costs more in tasks than in work, so a
+    small frame gets few partitions; a large one keeps its own.
+    """
+    code = (F.array_position(_labels(list(sizes)), F.col("label")) - 1).cast("double")
+    coded = train.withColumn("_code", code).withColumn("_vector", array_to_vector("features"))
+    return coded.coalesce(max(1, math.ceil(sum(sizes.values()) / ROWS_PER_TASK)))
 
 
 @dataclass
@@ -145,7 +153,7 @@ def fit_logistic(
     if len(labels) == 1:
         return ConstantModel(labels)
     n = sum(sizes.values())
-    coded = _coded(train, labels)
+    coded = _coded(train, sizes)
     settings = {}
     if class_weight == "balanced":
         weights = F.array(*[F.lit(n / (len(labels) * sizes[v])) for v in labels])
@@ -166,7 +174,8 @@ def fit_random_forest(
     min_samples_leaf: int = 1,
     seed: int = SEED,
 ):
-    labels = list(class_sizes(train))
+    sizes = class_sizes(train)
+    labels = list(sizes)
     if len(labels) == 1:
         return ConstantModel(labels)
     estimator = RandomForestClassifier(
@@ -174,7 +183,7 @@ def fit_random_forest(
         maxDepth=min(max_depth or MAX_FOREST_DEPTH, MAX_FOREST_DEPTH), featureSubsetStrategy="sqrt",
         minInstancesPerNode=min_samples_leaf, seed=seed,
     )
-    return VectorModel(labels, _fit(estimator, _coded(train, labels)))
+    return VectorModel(labels, _fit(estimator, _coded(train, sizes)))
 
 
 def fit_boosted_trees(
@@ -188,10 +197,11 @@ def fit_boosted_trees(
     seed: int = SEED,
 ):
     """Gradient-boosted trees, one binary model per class from three classes on."""
-    labels = list(class_sizes(train))
+    sizes = class_sizes(train)
+    labels = list(sizes)
     if len(labels) == 1:
         return ConstantModel(labels)
-    coded = _coded(train, labels)
+    coded = _coded(train, sizes)
     settings = {}
     if early_stopping:
         held_out = F.conv(F.substring(shuffle_key("row_id", seed), 1, 6), 16, 10).cast("int") % VALIDATION_SHARE == 0
