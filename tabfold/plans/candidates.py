@@ -204,13 +204,14 @@ def sanitize_candidates(candidates: DataFrame, n_rows: str) -> DataFrame:
     """
     keys = {k: spec for specs in BOUNDS.values() for k, spec in specs.items()}
     steps = candidates.withColumn("_given", F.try_parse_json("hp"))
-    steps = steps.select(
-        *candidates.columns,
-        *[
-            F.struct(_kind(_part(F.col("_given"), k)).alias("kind"), _text(F.col("_given"), k).alias("text")).alias(f"_{k}")
-            for k in keys
-        ],
-    )
+
+    def read(key: str) -> Column:
+        # only the models that know the key look for it
+        owners = [m for m, specs in BOUNDS.items() if key in specs]
+        given = F.struct(_kind(_part(F.col("_given"), key)).alias("kind"), _text(F.col("_given"), key).alias("text"))
+        return F.when(F.col("model").isin(owners), given).alias(f"_{key}")
+
+    steps = steps.select(*candidates.columns, *[read(k) for k in keys])
     root = F.sqrt(F.greatest(F.col(n_rows), F.lit(1)))
     steps = steps.select(
         *candidates.columns,

@@ -26,9 +26,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tabfold/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path nobody has written to yet, inside the shared folder."""
-    return f"{shared_folder(spark)}/tabfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> bool:
+    """Delete what this application has staged; frames that still read it become useless."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(path) and files.delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
