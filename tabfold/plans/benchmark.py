@@ -15,7 +15,7 @@ from tabfold.operators.sampling import stratified_kfold, test_rows, train_rows
 from tabfold.plans import prompting
 from tabfold.plans.selection import meta_select_predict
 from tabfold.sources.delimited import scan_csv_positional
-from tabfold.sources.results import sink_results
+from tabfold.sources.results import scan_results, sink_results
 from tabfold.sources.sidecar import dataset_catalog, ready_datasets, scan_metadata
 from tabfold.workspace import stage
 
@@ -23,6 +23,7 @@ Method = Callable[[DataFrame, DataFrame], DataFrame]
 N_SPLITS = 5
 K_NEIGHBORS = 3
 
+# Method names of a benchmark configuration.
 _FITTED: dict[str, Callable] = {
     "LR": M.fit_logistic,
     "HGB": M.fit_boosted_trees,
@@ -130,6 +131,4 @@ def run_benchmark(
         first = False
     if first:
         sink_results(spark.createDataFrame([], "dataset string"), out, fresh=True)
-    from tabfold.sources.results import scan_results
-
     return scan_results(spark, out)

@@ -23,7 +23,6 @@ from tabfold.registry.base import (
     neighbors_sql,
     orders_data,
     table,
-    vectors,
 )
 
 DIMENSIONS = 32
