@@ -33,3 +33,19 @@ def test_query(spark, con, name):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 1 and 0 <= rows[0]["mean_accuracy"] <= 1
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 0",
+        "SELECT o_orderkey, o_totalprice + 0.001 AS o_totalprice FROM orders",
+        "SELECT o_orderkey, o_totalprice AS price FROM orders",
+        "SELECT o_orderkey, o_totalprice::VARCHAR AS o_totalprice FROM orders",
+    ],
+)
+def test_compare_notices_differences(spark, con, sql):
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_totalprice")
+    assert compare(orders, con, "SELECT o_orderkey, o_totalprice FROM orders") > 0
+    with pytest.raises(AssertionError):
+        compare(orders, con, sql)
