@@ -15,7 +15,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -307,7 +307,7 @@ class SliceCache(dict):
     def learn(self, pieces: list[str]) -> None:
         if len(self) >= CACHED_SLICES:
             self.clear()
-        new = [p for p in set(pieces).difference(self) if len(p) <= SHORT_SLICE // 4]
+        new = [p for p in filterfalse(self.__contains__, set(pieces)) if len(p) <= SHORT_SLICE // 4]
         if new:
             self.update(zip(new, merge_many([p.encode() for p in new], self.path)))
 
