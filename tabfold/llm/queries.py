@@ -3,20 +3,64 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tabfold.llm import bpe
+from tabfold.llm import bpe, fingerprint, language, quality, sharding, suffix, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+SHARDS = 16
+
+#: Host, path and verdict of the url rules. Fixed values.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(_table(spark, folder, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.digests(_table(spark, folder, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return urls.judge(pages, urls.links(pages), URL_RULES)
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(_table(spark, folder, "documents"), SHARDS)
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_table(spark, folder, "documents"), RANKS)
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.against_next(_table(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op1_language": op1_language,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op7_quality": op7_quality,
+    "op8_sharding": op8_sharding,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_fingerprint": op10_fingerprint,
+}
 ORACLES: dict[str, str] = {}
