@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabfold.llm import bpe, fingerprint, language, quality, sharding, suffix, urls
+from tabfold.llm import bpe, decontam, fingerprint, language, licenses, quality, sharding, sketches, suffix, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -29,10 +30,24 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predictions(_table(spark, folder, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.digests(_table(spark, folder, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.near_duplicates(_table(spark, folder, "documents"), 4)
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(_table(spark, folder, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     return urls.judge(pages, urls.links(pages), URL_RULES)
@@ -54,13 +69,23 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.against_next(_table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_language": op1_language,
+    "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_licenses": op5_licenses,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprint": op10_fingerprint,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
