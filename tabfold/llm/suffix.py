@@ -11,8 +11,8 @@ left.  Neighbouring windows mostly share an anchor, which leaves about one suffi
 2. One example of every other context is cut out and dealt into ranges of the leading bytes of its suffix
    by sampled splitters.  A bucket sorts suffixes and reversed left contexts by multikey quicksort; the
    common prefixes of neighbours tell for every window whether another one equals it.
-3. A gram may lie across the boundary of two buckets: windows of the first and last gram of a bucket are
-   compared across boundaries by 128-bit hashes.
+3. A gram with many contexts may lie across boundaries of buckets: its windows are compared across them by
+   128-bit hashes.
 4. Spans go back to their documents.
 
 No step needs the rows of a gram together, however many documents share it.
@@ -37,6 +37,8 @@ LEAD = 16
 CHUNK = 1 << 20
 POSITION_BITS = 21
 PIECES_PER_BUCKET = 20_000
+#: Contexts of one gram up to which they stay in one bucket.
+WHOLE_GROUP = 5_000
 SMALL = 24
 
 
@@ -181,19 +183,18 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     rows: list[tuple] = []
     for i in np.flatnonzero((copies == 1) & twins.any(axis=1)):
         rows += [(gram[i], context[i], a, b, None, None) for a, b in _runs(twins[i])]
-    leads = table.column("lead").to_pylist()
-    outer = {min(leads), max(leads)}
     raw = data.tobytes()
-    for i, lead in enumerate(leads):
-        if lead in outer:
-            for d in range(ahead[i], back[i] + 1):
-                at = offsets[i] + back[i] - d
-                digest = xxhash.xxh3_128_intdigest(raw[at : at + length])
-                high, low = np.array([digest >> 64, digest & (1 << 64) - 1], np.uint64).astype(np.int64).tolist()
-                rows.append((gram[i], context[i], d, d, high, low))
-            if len(rows) > 100_000:
-                yield _found_batch(rows)
-                rows = []
+    seen: set[bytes] = set()
+    for i in np.flatnonzero(table.column("tie").to_numpy() != 0).tolist():
+        for d in range(ahead[i], back[i] + 1):
+            at = offsets[i] + back[i] - d
+            digest = xxhash.xxh3_128_digest(raw[at : at + length])
+            if digest not in seen:  # one of equal windows stands for all of them elsewhere
+                seen.add(digest)
+                rows.append((gram[i], context[i], d, d, *np.frombuffer(digest, np.int64).tolist()))
+        if len(rows) > 100_000:
+            yield _found_batch(rows)
+            rows = []
     if rows:
         yield _found_batch(rows)
 
@@ -245,7 +246,7 @@ def _packed(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"row struct<{kept}>, k1 long, k2 long, packed binary")
 
 
-def _spans(source: DataFrame, length: int, gram: int) -> DataFrame:
+def _spans(source: DataFrame, length: int, gram: int, whole_group: int) -> DataFrame:
     """``k1, k2, spans`` of every text that has a repeated window."""
     spark = source.sparkSession
 
@@ -278,46 +279,57 @@ def _spans(source: DataFrame, length: int, gram: int) -> DataFrame:
     example = F.min(F.struct("k1", "k2", "at", "back", "ahead")).alias("one")
     contexts = mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), example)
     contexts = stage(contexts.select("gram", "context", "copies", "one.*"), "contexts")
+    large = contexts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > whole_group)
+    large = stage(large.select(F.col("gram").alias("large")), "large")
 
     # one example of each context, cut out of its document
-    wanted = contexts.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("gram", "context", "copies", "at", "back", "ahead")).alias("cuts")
+    tie = F.when(F.col("large").isNotNull(), F.col("context").bitwiseOR(1)).otherwise(0).alias("tie")
+    sized = contexts.join(large, F.col("gram") == F.col("large"), "left").withColumn("tie", tie)
+    wanted = sized.groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("gram", "context", "tie", "copies", "at", "back", "ahead")).alias("cuts")
     )
     texts = _packed(keyed.withColumn("row", F.struct(F.lit(0).alias("none"))))
     lifted = wanted.join(texts, ["k1", "k2"]).select("cuts", "packed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "context", "copies", "back", "ahead", "lead", "piece"]
+        names = ["gram", "context", "tie", "copies", "back", "ahead", "lead", "piece"]
         for batch in slices(batches, "packed", 1 << 18):
             rows = []
             for cuts, packed in zip(batch.column("cuts").to_pylist(), batch.column("packed")):
                 text = zstandard.decompress(packed.as_py())
                 for c in cuts:
                     piece = text[c["at"] - c["back"] : c["at"] - c["ahead"] + length]
-                    lead = text[c["at"] : c["at"] + LEAD]
-                    rows.append((c["gram"], c["context"], c["copies"], c["back"], c["ahead"], lead, piece))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                    lead = text[c["at"] : c["at"] + min(LEAD, gram)]
+                    rows.append((c["gram"], c["context"], c["tie"], c["copies"], c["back"], c["ahead"], lead, piece))
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     pieces = lifted.mapInArrow(
-        cut, "gram long, context long, copies long, back int, ahead int, lead binary, piece binary"
+        cut, "gram long, context long, tie long, copies long, back int, ahead int, lead binary, piece binary"
     )
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, contexts.count() // PIECES_PER_BUCKET + 1)
-    ranged = stage(pieces, "pieces").repartitionByRange(buckets, "lead", "context")
+    ranged = stage(pieces, "pieces").repartitionByRange(buckets, "lead", "gram", "tie")
     judged = stage(ranged.mapInArrow(lambda batches: _bucket(batches, length), _FOUND), "judged")
     inner = judged.where("w1 IS NULL").select("gram", "context", "near", "far")
     outer = judged.where("w1 IS NOT NULL")
     twice = outer.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    across = outer.join(twice, ["w1", "w2"]).select("gram", "context", "near", "far")
+    across = outer.join(twice, ["w1", "w2"], "left_semi").select("gram", "context", "near", "far")
+    runs = inner.union(across).groupBy("gram", "context").agg(F.collect_list(F.struct("near", "far")).alias("runs"))
 
+    # the windows of a context that repeat, as the byte spans they cover in its documents
     single = contexts.where("copies = 1").select("gram", "context", "k1", "k2", "at")
-    partly = inner.union(across).join(single, ["gram", "context"])
+    partly = runs.join(single, ["gram", "context"])
     copied = mixed.join(contexts.where("copies > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-    place = ["k1", "k2", "at", F.col("ahead").alias("near"), F.col("back").alias("far")]
-    every = whole.select(*place).union(copied.select(*place)).union(partly.select("k1", "k2", "at", "near", "far"))
-    span = F.struct((F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("stop"))
-    return every.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
+    all_of = F.array(F.struct(F.col("ahead").alias("near"), F.col("back").alias("far"))).alias("runs")
+    every = whole.select("k1", "k2", "at", all_of).union(copied.select("k1", "k2", "at", all_of))
+    every = every.union(partly.select("k1", "k2", "at", "runs"))
+    spans = F.transform(
+        "runs",
+        lambda r: F.struct((F.col("at") - r["far"]).alias("start"), (F.col("at") - r["near"] + length).alias("stop")),
+    )
+    gathered = every.select("k1", "k2", spans.alias("spans")).groupBy("k1", "k2")
+    return gathered.agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(
@@ -327,6 +339,7 @@ def remove_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     whole_points: bool = False,
+    whole_group: int = WHOLE_GROUP,
 ) -> DataFrame:
     """Every row with its columns but the text, and ``removed_spans`` and ``kept_text`` (bytes).
 
@@ -341,7 +354,7 @@ def remove_repeats(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.col(id_col).alias("id"),
     ).select("row", "text", *_keys("id", "text"))
-    spans = _spans(source, length, gram)
+    spans = _spans(source, length, gram, whole_group)
     joined = _packed(source).join(spans, ["k1", "k2"], "left").select("row", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
