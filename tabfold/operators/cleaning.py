@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabfold.functions.text import row_json
-from tabfold.operators.ranking import rank_by_value
+from tabfold.workspace import stage
 
 MAX_CATEGORIES = 512
-TOP_N_ROWS = 10_000
 
 
 def split_target(df: DataFrame, target: int, *, carry: list[str] | None = None) -> DataFrame:
@@ -37,41 +36,45 @@ def positional_rename(df: DataFrame) -> DataFrame:
     return df.toDF(*[str(i) for i in range(len(df.columns))])
 
 
+def _key_after(df: DataFrame, n: int, order: str) -> Column:
+    """The key of row ``n + 1`` by a unique, orderable column.
+
+    The keys alone are dealt into sampled ranges; the sizes of the ranges tell which one holds the key, and
+    no task sorts more than a range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(order).alias("key")).repartitionByRange(ranges, "key")
+    keys = stage(keys.withColumn("part", F.spark_partition_id()), "keys")
+    sizes = sorted((r["part"], r["count"]) for r in keys.groupBy("part").count().collect())  # one row a range
+    left = n
+    for part, size in sizes:
+        if left < size:
+            inside = keys.filter(F.col("part") == part).orderBy(F.col("key").asc_nulls_first())
+            return inside.limit(left + 1).agg(F.max("key").alias("first")).scalar()
+        left -= size
+    raise IndexError(f"the table has no more than {n} rows")
+
+
 def skip_rows(df: DataFrame, n: int, order: str) -> DataFrame:
-    """All rows but the first ``n`` by ``order`` (a unique column); ``n`` below the row count.
+    """All rows but the first ``n`` by ``order`` (a unique, orderable column); ``n`` below the row count.
 
-    For a small ``n`` a top-n finds the key of the first row to keep, and a filter does the rest.  For
-    a large one the rows are ranked over slices of the key.  Neither sorts the table.
+    A filter on the first key to keep; the rows stay where they are.
     """
     if n < 0:
         raise IndexError("cannot skip a negative number of rows")
     if n == 0:
         return df
-    if n > TOP_N_ROWS:
-        if df.count() <= n:
-            raise IndexError(f"the table has no more than {n} rows")
-        return rank_by_value(df, [], order, name="_rank").filter(F.col("_rank") > n).drop("_rank")
-    head = df.select(order).orderBy(order).limit(n + 1)
-    kept = head.agg(
-        F.count(F.lit(1)).alias("n"), F.max(order).alias("first")
-    ).select(
-        F.when(F.col("n") > n, F.col("first"))
-        .otherwise(F.raise_error(F.lit(f"the table has no more than {n} rows")))
-        .alias("first")
-    )
-    return df.filter(F.col(order) >= kept.scalar())
+    return df.filter(F.col(order) >= _key_after(df, n, order))
 
 
 def head_fraction(df: DataFrame, share: float, order: str) -> DataFrame:
-    """The first ``int(rows * share)`` rows by ``order`` (a unique numeric column); all if share >= 1.
-
-    The border is found by a rank over slices of the key, so no task sorts the table.
-    """
+    """The first ``int(rows * share)`` rows by ``order`` (a unique, orderable column); all if share >= 1."""
     if share >= 1.0:
         return df
-    ranked = rank_by_value(df, [], order, name="_rank")
-    wanted = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(share))).alias("n"))
-    return ranked.filter(F.col("_rank") <= wanted.scalar()).drop("_rank")
+    wanted = int(df.count() * float(share))
+    if wanted == 0:
+        return df.filter(F.lit(False))
+    return df.filter(F.col(order) < _key_after(df, wanted, order))
 
 
 def _strings(df: DataFrame) -> list[str]:
@@ -268,7 +271,7 @@ def standardize_folds(folded: DataFrame, folds: int, features: str = "features")
     rows = folded.select("*", split)
     role = F.when(F.col("fold") == F.col("split"), "test").otherwise("train")
     return (
-        rows.join(scale, "split")
+        rows.join(F.broadcast(scale), "split")  # ``folds`` rows
         .withColumn(features, _scaled(features))
         .drop("_scale")
         .withColumn("role", role)

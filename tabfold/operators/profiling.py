@@ -30,7 +30,8 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 
 def label_space(df: DataFrame, label: str) -> DataFrame:
     """All labels as one sorted array; refuses a column with too many values to be a class label."""
-    some = label_counts(df, label).select("label").limit(MAX_LABELS + 1)
+    known = label_counts(df, label).select("label").filter(F.col("label").isNotNull())
+    some = known.limit(MAX_LABELS + 1)
     labels = F.array_sort(F.collect_list("label"))
     many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))
     return some.agg(F.when(F.count("label") > MAX_LABELS, many).otherwise(labels).alias("labels"))
@@ -100,7 +101,6 @@ def schema_card(
     if not isinstance(df.schema[label].dataType, T.IntegralType):
         raise TypeError("labels must be integers, encode them first")
     priors = class_priors(df, label).agg(
-        F.sum("n").alias("n_rows"),
         F.array_sort(F.collect_list("label")).alias("labels"),
         F.map_from_entries(
             F.array_sort(F.collect_list(F.struct(F.col("label").cast("string"), F.col("prior"))))
@@ -113,7 +113,8 @@ def schema_card(
             )
         ).alias("columns")
     )
-    return priors.withColumn("columns", profile.scalar()).select(
+    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))  # unlabelled rows too, as in the shares
+    return priors.withColumns({"columns": profile.scalar(), "n_rows": rows.scalar()}).select(
         F.to_json(
             F.struct(
                 "n_rows",

@@ -3,17 +3,28 @@
 ``row_number() over (partition by label ...)`` sends a whole class to one task, and one class may
 hold a third of the table.  Here every group is cut into slices that follow the sort order: rows are
 numbered inside a slice, and the sizes of the earlier slices, known from a small pre-aggregate, are
-added.  The result is the same rank, with no task larger than one slice.
+added.  The result is the same rank.  The number of slices follows the number of rows, so a slice stays
+small however large the table is.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabfold.workspace import stage
+
 SEED = 42
-HASH_SLICE_DIGITS = 3  # 16 ** 3 slices per group
-VALUE_SLICES = 512
+FEWEST_DIGITS = 2
+#: Rows that one slice, and so one sorting task, should hold at most.
+ROWS_PER_SLICE = 1_000_000
+
+
+def slice_digits(df: DataFrame) -> int:
+    """Leading hash digits to cut by, so that even a group with all rows has slices of ``ROWS_PER_SLICE``."""
+    rows, digits = df.count(), FEWEST_DIGITS
+    while rows > ROWS_PER_SLICE * 16**digits:
+        digits += 1
+    return digits
 
 
 def shuffle_key(row_id: str, seed: int = SEED) -> Column:
@@ -67,34 +78,28 @@ def rank_by_hash(
     *,
     seed: int = SEED,
     name: str = "rank",
-    digits: int = HASH_SLICE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """1-based rank of each row inside its group in shuffled order."""
-    sliced = hash_slices(df, by, row_id, seed, digits)
+    sliced = hash_slices(df, by, row_id, seed, slice_digits(df) if digits is None else digits)
     starts = slice_starts(sliced, by).select("_cell", "_start")
     ranked = _number_in_slices(sliced, starts, ["_key", row_id], name)
     return ranked.select(*df.columns, name)
 
 
 def rank_by_value(
-    df: DataFrame, by: list[str], order: str, *, name: str = "rank", slices: int = VALUE_SLICES
+    df: DataFrame, by: list[str], order: str, *, name: str = "rank", slices: int | None = None
 ) -> DataFrame:
-    """1-based rank inside each group by a unique numeric column.
+    """1-based rank inside each group by a unique orderable column.
 
-    Slice borders are approximate quantiles of the column over the whole table; only the balance of
-    the slices depends on their accuracy, the ranks do not.
+    Slices are sampled ranges of the column, by default as many as keep them near ``ROWS_PER_SLICE``;
+    only their balance depends on the sample, the ranks do not.
     """
-    shares = [i / slices for i in range(1, slices)]
-    quantiles = df.agg(
-        F.percentile_approx(F.col(order).cast("double"), shares, 10000).alias("q")
-    ).first()["q"]
-    inner = sorted(set(quantiles or []))
-    if not inner:
-        inner = [0.0]
-    cut = Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol="_value", outputCol="_slice"
-    )
-    sliced = cut.transform(df.withColumn("_value", F.col(order).cast("double")))
-    sliced = sliced.withColumn("_cell", _group_text([*by, "_slice"]))
+    if slices is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(ranges, df.count() // ROWS_PER_SLICE + 1)
+    ranged = df.repartitionByRange(slices, order).withColumn("_slice", F.spark_partition_id())
+    ranged = stage(ranged, "ranged")  # the ranges must not change between the two uses
+    sliced = ranged.withColumn("_cell", _group_text([*by, "_slice"]))
     starts = slice_starts(sliced, by).select("_cell", "_start")
     return _number_in_slices(sliced, starts, [order], name).select(*df.columns, name)

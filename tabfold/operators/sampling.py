@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabfold.operators.ranking import (
-    HASH_SLICE_DIGITS,
     SEED,
     _number_in_slices,
     hash_slices,
     shuffle_key,
+    slice_digits,
     slice_starts,
 )
 
@@ -22,14 +22,14 @@ def stratified_kfold(
     folds: int,
     *,
     seed: int = SEED,
-    digits: int = HASH_SLICE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``fold`` (0-based): rows are dealt out in turn over the table sorted by label and hash.
 
     Sizes differ by at most one, in every class and in total.  Fails when every class has fewer
     rows than there are folds.
     """
-    sliced = hash_slices(df, [label], row_id, seed, digits)
+    sliced = hash_slices(df, [label], row_id, seed, slice_digits(df) if digits is None else digits)
     starts = slice_starts(sliced, [label])
     # one row per class from here on
     classes = starts.groupBy(label).agg(F.first("_total").alias("_total"))
@@ -75,13 +75,13 @@ def stratified_cap(
     cap: int,
     *,
     seed: int = SEED,
-    digits: int = HASH_SLICE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """At most about ``cap`` rows with the class shares kept, each class keeping one row or more.
 
     Slices that lie wholly beyond a class's quota are dropped before anything is shuffled.
     """
-    sliced = hash_slices(df, [label], row_id, seed, digits)
+    sliced = hash_slices(df, [label], row_id, seed, slice_digits(df) if digits is None else digits)
     starts = slice_starts(sliced, [label])
     classes = starts.groupBy(label).agg(F.first("_total").alias("_class"))
     total = F.sum("_class").over(Window.partitionBy(F.lit(1)))

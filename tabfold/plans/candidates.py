@@ -65,9 +65,10 @@ def _text(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$.{key}", "string")
 
 
-def _candidate(item: Column, reason: str) -> Column:
+def _candidate(item: Column, reason: str, cut: bool) -> Column:
     hp = F.coalesce(F.to_json(_part(item, "hyperparameters")), F.lit("{}"))
-    why = F.substring(F.coalesce(_text(item, reason), F.lit("")), 1, 64)
+    why = F.coalesce(_text(item, reason), F.lit(""))
+    why = F.substring(why, 1, 64) if cut else why
     return F.struct(_text(item, "model").alias("model"), hp.alias("hp"), why.alias("why"))
 
 
@@ -89,14 +90,15 @@ def _read(block: Column) -> Column:
             items, lambda c: _kind(c).startswith("OBJECT") & (_kind(_part(c, "model")) != "ABSENT")
         )
 
-    def from_list(items: Column, strict: bool) -> Column:
+    def from_list(items: Column, named: bool) -> Column:
+        """``named``: the list stands under ``candidates``, where reasons are checked and kept whole."""
         return once(
             with_model(items),
             lambda known: F.when(
                 F.size(known) > 0,
                 F.struct(
-                    F.when(F.exists(known, lambda c: ~_usable(c, strict)), 2).otherwise(1).alias("state"),
-                    F.transform(known, lambda c: _candidate(c, "why")).alias("found"),
+                    F.when(F.exists(known, lambda c: ~_usable(c, named)), 2).otherwise(1).alias("state"),
+                    F.transform(known, lambda c: _candidate(c, "why", not named)).alias("found"),
                 ),
             ),
         )
@@ -109,7 +111,7 @@ def _read(block: Column) -> Column:
         (_kind(_part(block, "model")) != "ABSENT") & (_kind(_part(block, "hyperparameters")) != "ABSENT"),
         F.struct(
             F.when(_usable(block, False), 1).otherwise(2).alias("state"),
-            F.array(_candidate(block, "reasoning")).alias("found"),
+            F.array(_candidate(block, "reasoning", True)).alias("found"),
         ),
     )
     bare = F.when(_kind(block).startswith("ARRAY"), from_list(block.try_cast("array<variant>"), False))

@@ -18,33 +18,50 @@ from tabfold.operators.profiling import label_space
 from tabfold.operators.sampling import class_prototypes, context_sample
 from tabfold.operators.vectors import vector_topk
 from tabfold.sources.vectors import scan_vector_table, sink_vector_table
-from tabfold.workspace import new_folder
+from tabfold.workspace import new_folder, stage
 
 Complete = Callable[[list[str]], list[str]]
 Embed = Callable[[list[str]], list]
 
 
-def score_prompts(df: DataFrame, complete: Complete, *, prompt: str = "prompt") -> DataFrame:
-    """Add ``reply`` and ``error``; a failing call leaves its batch without a reply, not without rows."""
+def _ask(complete: Complete, asked: list[str]) -> list[tuple[str | None, str | None]]:
+    """Reply or error of each prompt; a failing call is halved down to the prompts that fail alone."""
+    try:
+        replies = list(complete(asked))
+        if len(replies) != len(asked):
+            raise ValueError("one reply per prompt expected")
+        return [(reply, None) for reply in replies]
+    except Exception as e:  # the user's function may fail in any way
+        if len(asked) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(asked) // 2
+        return _ask(complete, asked[:half]) + _ask(complete, asked[half:])
+
+
+def score_prompts(
+    df: DataFrame, complete: Complete, *, prompt: str = "prompt", batch_rows: int = 64, parallelism: int | None = None
+) -> DataFrame:
+    """Add ``reply`` and ``error``, one of them null; every prompt that fails keeps its own error.
+
+    A call holds at most ``batch_rows`` prompts.  ``parallelism`` deals the rows into so many partitions and
+    so sets how many calls are open at a time; else the frame's partitions do.  Replies are paid for, so they
+    are staged: later actions read them and do not ask again.
+    """
     schema = T.StructType(
         df.schema.fields + [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            error = None
-            try:
-                replies = list(complete(batch[prompt].tolist()))
-                if len(replies) != len(batch):
-                    raise ValueError("one reply per prompt expected")
-            except Exception as e:  # the user's function may fail in any way
-                replies, error = [None] * len(batch), f"{type(e).__name__}: {e}"
+            asked = batch[prompt].tolist()
+            found = [x for i in range(0, len(asked), batch_rows) for x in _ask(complete, asked[i : i + batch_rows])]
             yield batch.assign(
-                reply=pd.Series(replies, index=batch.index, dtype=object),
-                error=pd.Series([error] * len(batch), index=batch.index, dtype=object),
+                reply=pd.Series([r for r, _ in found], index=batch.index, dtype=object),
+                error=pd.Series([e for _, e in found], index=batch.index, dtype=object),
             )
 
-    return df.mapInPandas(run, schema)
+    dealt = df if parallelism is None else df.repartition(parallelism)
+    return stage(dealt.mapInPandas(run, schema), "replies")
 
 
 def embed_text(df: DataFrame, text: str, embed: Embed, *, name: str = "embedding") -> DataFrame:

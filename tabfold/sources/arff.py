@@ -28,10 +28,14 @@ _VALUE = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,]*?)\s*(?:,|$
 def _bare(text: str) -> str:
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
-        return text[1:-1]
+        return re.sub(r"\\(.)", r"\1", text[1:-1])
     return text
 
 
+def _quoted(value: str) -> str:
+    return "'" + re.sub(r"([\\'])", r"\\\1", value) + "'"
+
+
 def _attribute(line: str) -> Attribute:
     match = _NAME.match(line.strip())
     if not match:
@@ -57,13 +61,16 @@ def read_header(spark: SparkSession, path: str) -> list[Attribute]:
         if any(x.strip().lower().startswith("@data") for x in lines) or len(lines) < asked:
             break
         asked *= 4
-    attributes = []
+    attributes, complete = [], False
     for line in lines:
         word = line.strip().lower()
         if word.startswith("@attribute"):
             attributes.append(_attribute(line))
         elif word.startswith("@data"):
+            complete = True
             break
+    if not complete:
+        raise ValueError(f"no @data line among the first {len(lines)} lines of {first}")
     if not attributes:
         raise ValueError(f"no attributes in {first}")
     return attributes
@@ -86,11 +93,11 @@ def scan_arff(
     else:
         lines = lines.filter(body)
     schema = T.StructType([T.StructField(str(i), T.StringType()) for i in range(len(attributes))])
-    # both quote characters are allowed; from_csv knows one, so the line picks it
+    # both quote characters are allowed; from_csv knows one, so the first of a line decides
     options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "FAILFAST"}
     ddl = ", ".join(f"`{f.name}` string" for f in schema.fields)
     fields = F.when(
-        text.contains("'"), F.from_csv(text, ddl, {**options, "quote": "'"})
+        F.regexp_extract(text, "['\"]", 0) == "'", F.from_csv(text, ddl, {**options, "quote": "'"})
     ).otherwise(F.from_csv(text, ddl, {**options, "quote": '"'}))
     parsed = lines.select(*([row_id] if row_id else []), fields.alias("f"))
 
@@ -119,7 +126,7 @@ def sink_arff(df: DataFrame, path: str, relation: str, nominal: dict[str, list[s
 
     def kind(f: T.StructField) -> str:
         if f.name in nominal:
-            return "{" + ",".join(f"'{v}'" for v in nominal[f.name]) + "}"
+            return "{" + ",".join(_quoted(v) for v in nominal[f.name]) + "}"
         return "numeric"
 
     header = [f"@relation {relation}"]
@@ -127,7 +134,7 @@ def sink_arff(df: DataFrame, path: str, relation: str, nominal: dict[str, list[s
     header += ["@data"]
     cells = [
         F.coalesce(
-            F.concat(F.lit("'"), F.col(f"`{f.name}`"), F.lit("'"))
+            F.concat(F.lit("'"), F.regexp_replace(f"`{f.name}`", r"([\\'])", r"\\$1"), F.lit("'"))
             if f.name in nominal
             else F.col(f"`{f.name}`").cast("string"),
             F.lit("?"),

@@ -39,10 +39,10 @@ def prepare_dataset(
 ) -> tuple[str, str]:
     """Skip rows, drop names, write the headerless table and its sidecar; returns both paths.
 
-    ``order`` is the row id by which rows are skipped; it is not written.
+    ``order`` is the row id by which rows are skipped and written, in sorted ranges; it is not written itself.
     """
-    kept = skip_rows(df, skip, order).drop(order)
-    table = positional_rename(kept)
+    kept = skip_rows(df, skip, order)
+    table = positional_rename(kept.orderBy(order).drop(order))
     csv, sidecar = f"{folder}/{name}/{name}.csv", f"{folder}/{name}/{name}_metadata.json"
     sink_csv_positional(table, csv)
     sink_metadata(build_metadata(table, target), sidecar)

@@ -97,3 +97,15 @@ def test_choice_without_any_score(spark, rows):
     assert best_candidate(scores).first()["best"] is None
     model, hp, _ = choose(scores)
     assert model == "hgb" and json.loads(hp)["max_iter"] == 600
+
+
+def test_reasons_are_cut_only_outside_of_named_lists(spark):
+    why = "r" * 100
+    replies = [
+        json.dumps({"candidates": [{"model": "rf", "why": why}]}),
+        json.dumps({"model": "rf", "hyperparameters": {}, "reasoning": why}),
+        json.dumps([{"model": "rf", "why": "one } brace " + why}]),
+    ]
+    rows = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    got = {r["i"]: len(r["why"]) for r in C.parse_candidates(rows, "reply").collect()}
+    assert got == {0: 100, 1: 64, 2: 64}

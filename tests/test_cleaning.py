@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -63,9 +64,15 @@ def test_skip_and_head(spark):
     assert C.head_fraction(rows, 1.0, "id").count() == 50
 
 
-def test_skip_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(C, "TOP_N_ROWS", 10)
-    assert C.skip_rows(spark.range(50), 45, "id").count() == 5
+def test_skip_many_rows(spark):
+    rows = spark.range(30_000).repartition(7)
+    assert sorted(r.id for r in C.skip_rows(rows, 10_001, "id").collect()) == list(range(10_001, 30_000))
+
+
+def test_skip_by_a_text(spark):
+    rows = spark.range(200).select(F.format_string("k%05d", "id").alias("id"))
+    for n in (1, 77, 199):
+        assert sorted(r.id for r in C.skip_rows(rows, n, "id").collect()) == [f"k{i:05d}" for i in range(n, 200)]
 
 
 def test_standardize(spark):
@@ -114,6 +121,21 @@ def test_schema_card_wants_integers(mixed):
         P.schema_card(mixed, "color", ["score"])
 
 
+def test_schema_card_counts_unlabelled_rows(spark):
+    rows = spark.createDataFrame([(1, 2.0), (1, 3.0), (0, 4.0), (None, 5.0)], "y int, x double")
+    card = json.loads(P.schema_card(rows, "y", ["x"]).first()["card"])
+    assert card["n_rows"] == 4 and card["class_priors"] == {"0": 0.25, "1": 0.5}
+    assert P.label_space(rows, "y").first()["labels"] == [0, 1]
+
+
+def test_rows_without_label_stay(spark):
+    rows = spark.createDataFrame([("a",), (None,), ("b",), ("z",)], "label string")
+    codes = L.label_codes(rows.where("label <> 'z'"), "label")
+    coded = L.encode_labels(rows, "label", codes)
+    assert sorted(((r["label"] or "", r["code"]) for r in coded.collect()), key=str) == [("", None), ("a", 0), ("b", 1), ("z", None)]
+    assert L.decode_labels(coded, "code", codes, "again").count() == 4
+
+
 def test_label_codes_follow_values(spark):
     rows = spark.createDataFrame([(10,), (2,), (1,), (2,)], "label int")
     codes = L.label_codes(rows, "label")

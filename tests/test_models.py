@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabfold.models import estimators as M
 from tabfold.models.calibration import calibrate
@@ -150,6 +151,30 @@ def test_failing_completion_gives_no_answer(three):
     assert {(r["reply"], r["error"]) for r in replied.select("reply", "error").collect()} == {(None, "RuntimeError: no server")}
 
 
+def test_one_bad_prompt_loses_one_reply(spark):
+    def picky(texts):
+        if "p7" in texts:
+            raise ValueError("bad prompt")
+        return [t + "!" for t in texts]
+
+    asked = spark.range(100).select(F.concat(F.lit("p"), "id").alias("prompt"))
+    rows = P.score_prompts(asked, picky, parallelism=3)
+    got = {r["prompt"]: (r["reply"], r["error"]) for r in rows.collect()}
+    assert got.pop("p7") == (None, "ValueError: bad prompt")
+    assert len(got) == 99 and all(v == (k + "!", None) for k, v in got.items())
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    def noting(texts):
+        with open(f"{tmp_path}/asked", "a") as file:
+            file.write("x" * len(texts))
+        return texts
+
+    rows = P.score_prompts(spark.range(50).select(F.col("id").cast("string").alias("prompt")), noting, batch_rows=5)
+    assert rows.count() == 50 and rows.where("reply IS NOT NULL").count() == 50
+    assert len((tmp_path / "asked").read_text()) == 50
+
+
 def test_right_answers_arrive(three):
     """A completion that reads the retrieved examples votes like a neighbour search."""
 

@@ -118,6 +118,33 @@ def test_dataset_folders(spark, tmp_path):
     assert [r[0] for r in sidecar.skipped_datasets(catalog, wanted).collect()] == ["gone"]
 
 
+def test_prepared_rows_keep_their_order(spark, tmp_path):
+    """More rows than any in-memory path would take, skipped by a text key and written in order."""
+    rows = spark.range(30_000).select(F.format_string("r%06d", "id").alias("key"), (F.col("id") % 2).alias("y"), "id")
+    csv, _ = sidecar.prepare_dataset(rows.repartition(6), str(tmp_path), "long", target=0, order="key", skip=10_001)
+    read = delimited.scan_csv_positional(spark, csv, row_id="row_id").orderBy("row_id")
+    assert [r["1"] for r in read.collect()] == list(range(10_001, 30_000))
+
+
+def test_arff_without_data_line(spark, tmp_path):
+    path = _write(tmp_path / "cut.arff", "@relation r\n@attribute a numeric\n")
+    with pytest.raises(ValueError, match="no @data line"):
+        arff.scan_arff(spark, path)
+
+
+def test_arff_quotes_within_quotes(spark, tmp_path):
+    text = "@relation r\n@attribute a {\"it's, so\", 'say \"x\"'}\n@attribute b numeric\n@data\n\"it's, so\",1\n'say \"x\"',2\n"
+    rows = arff.scan_arff(spark, _write(tmp_path / "q.arff", text)).orderBy("b").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [("it's, so", 1.0), ('say "x"', 2.0)]
+
+
+def test_arff_round_trip_of_quotes(spark, tmp_path):
+    values = ["it's", 'a "b"', "back\\slash", "plain"]
+    df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(values)], "a string, b double")
+    arff.sink_arff(df, f"{tmp_path}/out", "r", {"a": values})
+    assert [r["a"] for r in arff.scan_arff(spark, f"{tmp_path}/out").orderBy("b").collect()] == values
+
+
 def test_empty_dataset_folder(spark, tmp_path):
     assert sidecar.dataset_catalog(spark, str(tmp_path)).count() == 0
 
