@@ -36,54 +36,38 @@ Row to classify:
 [[row]]"""
 
 # The braces of the sample answer are doubled in this format.
-RETRIEVAL = """Classify a data point from similar ones.
-
-Answer with JSON only: no text before or after it, no markdown, no code fences.
-
-Similar training examples:
+RETRIEVAL = """These rows of a table have known labels:
 
 [[examples]]
 
-Data point to classify:
+One more row resembles them and has none:
 
 [[row]]
 
-Form of the answer:
+Which label fits it? Reply with a JSON object alone:
 {{ "classification": <integer>, "reasoning": "<some text>" }}"""
 
-PROPOSAL = """Propose classifiers for a table as one JSON object with the key "candidates". No other text.
-
-Shape: {"candidates": [{"model": "...", "hyperparameters": {...}, "why": "..."}]}
-Never output these keys: [[forbidden]]
+PROPOSAL = """A classifier is wanted for the table described below. Suggest settings worth a cross-validation.
 
-Rules:
-- four or five candidates, models only from [[models]], at least one each of hgb, rf and knn, one lr
-- hyperparameters only from the catalog, inside its bounds; null is allowed where it says so
-- from 50000 rows on prefer large settings: knn with 97 neighbours by distance, rf with 1400 trees,
-  hgb with 1000 rounds at rate 0.08
-- lr gets class_weight "balanced" only if the largest class share reaches 0.75
-- "why" has at most 12 words
+Reply with a JSON object alone, of the form
+{"candidates": [{"model": "<name>", "hyperparameters": {<name>: <value>}, "why": "<a few words>"}]}
+A model is one of [[models]]; its hyperparameters and their ranges are those of the catalog.
+The reply is refused if it has one of the keys [[forbidden]].
 
-Catalog:
-[[catalog]]
+Catalog: [[catalog]]
 
-Table:
-[[card]]
+Profile of the table: [[card]]
 
-First rows with "__target__":
-[[rows]]
+Some of its rows, the label under "__target__": [[rows]]
 
-Metadata, for reading only:
-[[metadata]]"""
+Where its columns are: [[metadata]]"""
 
-PROPOSAL_MINIMAL = """Return one JSON object and nothing else:
-{"candidates": [{"model": "...", "hyperparameters": {...}, "why": "..."}]}
-Five candidates: two hgb, one rf, one knn, one lr. Models only from [[models]].
-Never output these keys: [[forbidden]]
-From 50000 rows on lean to rf and knn.
+PROPOSAL_MINIMAL = """Suggest classifiers for a table you know nothing about.
 
-Catalog:
-[[catalog]]"""
+Reply with a JSON object alone, of the form
+{"candidates": [{"model": "<name>", "hyperparameters": {<name>: <value>}, "why": "<a few words>"}]}
+A model is one of [[models]]; its hyperparameters and their ranges are those of this catalog: [[catalog]]
+The reply is refused if it has one of the keys [[forbidden]]."""
 
 
 def fill(template: str, **slots: Column | str) -> Column:
