@@ -34,12 +34,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
+def _longest_first(rules: list[Rule]) -> list[Rule]:
+    return sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r[2] != "allow"))
+
+
 def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits, null where none does.
 
     Length counts host and path together; of equal rules the one that allows wins.
     """
-    ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r[2] != "allow"))
+    ordered = _longest_first(rules)
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for rule_host, rule_path, rule_verdict in reversed(ordered):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
@@ -106,3 +110,39 @@ def judge(
         "rule",
         F.coalesce("said", F.when(F.col("tainted"), F.lit("block")), F.lit(default)).alias("verdict"),
     )
+
+
+def judge_sql(rules: list[Rule], default: str = "allow") -> str:
+    """DuckDB: ``judge`` over table ``pages``; links are read tag by tag, components walked by recursion."""
+
+    def parts(table: str, url: str) -> str:
+        rest = f"coalesce(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END, '')"
+        host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+        path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+        return f"(SELECT *, {host} AS host, {path} AS path FROM {table})"
+
+    ordered = _longest_first(rules)
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in ordered]
+    name = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, ordered)) + " END"
+    said = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, ordered)) + " END"
+    quote = "[\"'']?"
+    scheme, root = "regexp_extract(a, '^([^:]*):', 1)", "regexp_extract(a, '^([^:]*://[^/?#]*)', 1)"
+    return rf"""WITH RECURSIVE tags AS (
+  SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+targets AS (
+  SELECT a, regexp_extract(tag, '(?is)href\s*=\s*{quote}([^"''\s>]+)', 1) AS t FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link.*rel\s*=\s*{quote}canonical')
+  UNION ALL
+  SELECT a, regexp_extract(tag, '(?is)url\s*=\s*([^"''\s>]+)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*{quote}refresh')),
+edges AS (
+  SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN {scheme} || ':' || t
+                 WHEN starts_with(t, '/') THEN {root} || t END AS b
+  FROM (SELECT a, replace(t, '&amp;', '&') AS t FROM targets WHERE t <> '')),
+both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+walk AS (SELECT a, b FROM both_ways UNION SELECT w.a, e.b FROM walk w JOIN both_ways e ON w.b = e.a),
+reached AS (SELECT a, {said} AS said FROM {parts("(SELECT a, b AS url FROM walk UNION SELECT a, a FROM walk)", "url")}),
+tainted AS (SELECT a FROM reached GROUP BY a HAVING bool_or(coalesce(said = 'block', false)) AND NOT bool_or(coalesce(said = 'allow', false)))
+SELECT page_id, host, path, {name} AS rule,
+  coalesce({said}, CASE WHEN url IN (SELECT a FROM tainted) THEN 'block' END, '{default}') AS verdict
+FROM {parts("pages", "url")}"""

@@ -6,12 +6,14 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from tabfold.llm import decontam, licenses, queries, sharding, sketches, suffix, urls
 from tabfold.llm.components import components
+from tests.oracle import compare
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 SMALL = "/root/testdata/sf0.001"
@@ -304,7 +306,11 @@ def test_blocks_travel_to_aliases_unless_allowed(spark):
         (5, "http://free.org/2", None),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, urls.links(pages), queries.URL_RULES).collect()}
+    judged = urls.judge(pages, urls.links(pages), queries.URL_RULES)
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in judged.collect()}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert compare(judged, con, urls.judge_sql(queries.URL_RULES)) == len(rows)
     assert found == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow"), 3: ("com/", "allow"), 4: (None, "allow"), 5: (None, "block")}
 
 
