@@ -168,3 +168,44 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leaked = leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("leaked_id")).distinct()
     leaked = stage(leaked, "leaked")
     return docs.join(leaked, docs[id_col].eqNullSafe(leaked["leaked_id"]), "left_anti")
+
+
+def leaks_sql(size: int = WINDOW) -> str:
+    """DuckDB: ``leaks`` of table ``documents`` against table ``benchmark``."""
+    closing = "'" + _CLOSING.replace("'", "''") + "'"
+    marks = ", ".join(f"'{m}'" for m in (NUMBER, UNIT, NAME))
+    units = ", ".join(f"'{u}'" for u in UNITS)
+
+    def number(word: str) -> str:
+        return f"(ascii({word}) BETWEEN 48 AND 57 OR (ascii({word}) = 36 AND ascii(substr({word}, 2, 1)) BETWEEN 48 AND 57))"
+
+    def templated(table: str, key: str) -> str:
+        before = "(CASE WHEN i > 1 THEN raw[i - 1] ELSE '.' END)"
+        word = f"""CASE WHEN {number("t")} THEN '{NUMBER}'
+      WHEN left(t, 1) <> lower(left(t, 1)) AND right({before}, 1) NOT IN ('.', '!', '?', ':') THEN '{NAME}'
+      WHEN {number(before)} AND rtrim(lower(t), {closing}) IN ({units}) THEN '{UNIT}'
+      ELSE rtrim(lower(t), {closing}) END"""
+        raw = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')"
+        return f"""(SELECT id, raw, list_transform(raw, lambda t, i: {word}) AS words FROM (SELECT {key} AS id, {raw} AS raw FROM {table}))"""
+
+    def windows(source: str) -> str:
+        return f"""(SELECT id, words[s:s + {size - 1}] AS win, raw[s:s + {size - 1}] AS raw, s - 1 AS at, greatest(len(words) - {size - 1}, 1) AS total
+    FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - {size - 1}, 1))) AS s FROM {source} WHERE len(words) > 0))"""
+
+    return f"""WITH items AS (SELECT * FROM {windows(templated("benchmark", "item_id"))}
+  WHERE len(list_filter(win, lambda w: w NOT IN ({marks}))) >= least({LITERALS}, len(win))),
+found AS (SELECT d.id, i.id AS item, i.at AS item_at, d.at - i.at AS shift, i.total, i.win, i.raw AS item_raw, d.raw AS doc_raw
+  FROM {windows(templated("documents", "doc_id"))} d JOIN items i ON d.win = i.win),
+places AS (SELECT DISTINCT id, item, shift, total, item_at FROM found),
+slots AS (SELECT DISTINCT id, item, shift, win[j] AS kind, rtrim(lower(item_raw[j]), {closing}) AS theirs, rtrim(lower(doc_raw[j]), {closing}) AS ours
+  FROM (SELECT *, unnest(generate_series(1, len(win))) AS j FROM found) WHERE win[j] IN ({marks})),
+values_of AS (SELECT id, item, shift, count(*) AS n_slots, bool_and(theirs = ours) AS verbatim,
+    count(*) = count(DISTINCT (kind, theirs)) AND count(*) = count(DISTINCT (kind, ours)) AS consistent
+  FROM slots GROUP BY ALL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY id, item, shift) AS run FROM places),
+judged AS (SELECT p.id, p.item, p.total, count(DISTINCT item_at) AS n, max(run) AS longest,
+    max(coalesce(n_slots, 0)) AS n_slots, bool_or(coalesce(verbatim, true)) AS verbatim
+  FROM sized p LEFT JOIN values_of v ON p.id IS NOT DISTINCT FROM v.id AND p.item = v.item AND p.shift = v.shift
+  WHERE coalesce(consistent, true) GROUP BY p.id, p.item, p.total)
+SELECT id AS doc_id, item AS item_id, n AS n_windows, n / total AS coverage, n_slots, verbatim
+FROM judged WHERE n >= total * {COVERAGE} OR longest + {size - 1} >= {RUN}"""

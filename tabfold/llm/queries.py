@@ -86,6 +86,6 @@ QUERIES = {
     "op10_fingerprint": op10_fingerprint,
     "pipeline": pipeline,
 }
-ORACLES = {"op6_url_filter": urls.judge_sql(URL_RULES)}
+ORACLES = {"op2_decontamination": decontam.leaks_sql(), "op6_url_filter": urls.judge_sql(URL_RULES)}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

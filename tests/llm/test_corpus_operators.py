@@ -199,7 +199,12 @@ def test_leaks_verbatim_and_with_other_values(spark):
         [f"Some words before. {ITEM} And after.", f"Before. {OTHER}", f"Before. {BROKEN}", "In the year of the lake nothing leaks here at all.", None, "", ITEM.lower().replace(" ", "\n")],
     )
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "too short"), (5, ITEM)], "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs, items).collect()}
+    leaked = decontam.leaks(docs, items)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    assert compare(leaked, con, decontam.leaks_sql()) >= 4
+    found = {(r["doc_id"], r["item_id"]): r for r in leaked.collect()}
     assert set(found) >= {(0, 1), (0, 5), (1, 1), (1, 5)}
     assert not {k for k in found if k[0] in (2, 3, 4, 5)}
     assert found[0, 1]["verbatim"] and not found[1, 1]["verbatim"] and found[1, 1]["n_slots"] > 0
