@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text worked on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -18,6 +19,17 @@ MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 
 
+#: Rows of a record batch while whole texts travel to Python.
+TEXT_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let the session send ``TEXT_ROWS`` rows at once to Python: of whole texts the usual 10,000 take much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text or binary column end to end, and ``len + 1`` offsets. A null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabfold.llm.arrays import slices, text_list
+from tabfold.llm.arrays import short_batches, slices, text_list
 
 LETTER, NUMBER, BLANK, SPACE, OTHER, SHORT, LONG, STOP = range(8)
 IN_WORD, IN_NUMBER, IN_OTHER, AFTER_BLANK, AFTER_SPACE, ONE_MORE, TWO_MORE, FRESH = range(8)
@@ -34,7 +34,7 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 BLOCK = 64
 #: Bytes of text cut and looked up at once: small, so that the short strings stay in the processor's cache.
 SLICE = 1 << 17
-CACHED_SLICES = 600_000
+CACHED_SLICES = 300_000
 SHORT_SLICE = 100
 NO_RANK = 1 << 40
 
@@ -331,6 +331,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     One row per input row, in any order; repeated rows stay repeated, a null text gives empty lists, other
     columns are left out.
     """
+    short_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {key}, ids array<int>" + (", starts array<int>" if offsets else "")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabfold.llm.arrays import slices, text_list
+from tabfold.llm.arrays import short_batches, slices, text_list
 from tabfold.workspace import stage
 
 ORDER = 4
@@ -126,6 +126,7 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 def fit(sample: DataFrame, text_col: str = "text") -> Model:
     """Counts of the sample's texts, joined into a model.  Null and empty texts add nothing."""
+    short_batches(sample.sparkSession)
     texts = sample.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def count_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +198,7 @@ def mean_loss(texts: list[str], model: Model) -> np.ndarray:
 
 def loss_column(docs: DataFrame, text: Column, model: Model) -> Column:
     """``mean_loss`` of a text column; null for null and empty texts."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 64**4 + 64**3 + ... cells
 
     @pandas_udf("double")

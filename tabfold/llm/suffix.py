@@ -28,7 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tabfold.llm.arrays import Rolling, flat, slices
+from tabfold.llm.arrays import Rolling, flat, short_batches, slices
 from tabfold.workspace import stage
 
 LENGTH = 400
@@ -348,6 +348,7 @@ def remove_repeats(
     code points, so that ``kept_text`` is valid UTF-8.  Rows repeated with id and text are documents of
     their own: each repeats the other.  A text shorter than ``length`` is kept whole.
     """
+    short_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     source = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
