@@ -15,10 +15,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabfold.llm.arrays import slices, text_list
+from tabfold.llm.arrays import short_batches, slices, text_list
+from tabfold.workspace import stage
 
 #: Bounds of the sample: labelled rows of one language, code points of one row, bytes of one dictionary.
 ROWS_PER_LANGUAGE = 400
+PARTS = 64
 POINTS_PER_ROW = 2_000
 DICTIONARY_BYTES = 1 << 17
 LANGUAGES = 512
@@ -46,12 +48,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
     languages = [r["lang"] for r in common.limit(LANGUAGES + 1).collect()]
     rows = rows.select("lang", F.substring("text", 1, POINTS_PER_ROW).alias("text"), F.xxhash64("text").alias("h"))
-    # the smallest hashes of a group, cut in each of 256 parts before the parts meet
-    part = F.pmod("h", F.lit(256))
+    # the smallest hashes of a group, cut in each part before the parts meet
+    part = F.pmod("h", F.lit(PARTS))
     first = Window.partitionBy("lang", part).orderBy("h", "text")
-    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 8 * ROWS_PER_LANGUAGE // PARTS)
     whole = Window.partitionBy("lang").orderBy("h", "text")
     rows = rows.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    rows = stage(rows.select("lang", "text", "h"), "sample")
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     out: dict[str, bytes] = {}
@@ -99,6 +102,7 @@ def identify(
     the margin is below ``min_margin``.  Whole texts are compressed.
     """
     key = docs.schema[id_col].dataType.simpleString()
+    short_batches(docs.sparkSession)
     model = tuple(dictionaries.items())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES x DICTIONARY_BYTES
 
