@@ -11,7 +11,8 @@ Lists can be hot, so pairs of a list are never all made:
 * in every list the classes are first compared with its most central class only (the one whose values
   are the most frequent); confirmed links join classes into components;
 * what is left are lists with classes of several components.  They are read in blocks of at most
-  ``BLOCK`` classes, and only pairs of different components whose union sketch is near enough are made.
+  ``BLOCK`` classes, where pairs of different components with near enough union sketches are compared on
+  whole sets; only links leave the task.
 
 A pair as similar as the limit, 0.8, is missed if its union's smallest values are nearly all unshared: below
 0.2 ** 12 for the lists, 1e-8 for the checks and 1e-9 for the estimate.  Below that limit nothing is linked.
@@ -27,7 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tabfold.llm.arrays import flat, mix, slices, words
+from tabfold.llm.arrays import flat, mix, short_batches, slices, words
 from tabfold.llm.components import components
 from tabfold.workspace import stage
 
@@ -128,10 +129,17 @@ def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def _near_pairs(sketch: np.ndarray, component: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components that may be similar enough.
+def _first_shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The smallest value that pairs of sketches share among their listed ones."""
+    both = np.sort(np.concatenate([one[:, :LISTED], other[:, :LISTED]], axis=1), axis=1)
+    again = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)
+    return np.where(again.any(axis=1), both[np.arange(len(both)), again.argmax(axis=1)], PAD)
 
-    Rows that share too few values with the others of the block go first, until nothing changes: in a list
+
+def _near_pairs(sketch: np.ndarray, component: np.ndarray, n: np.ndarray, value: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that may be similar enough, in the list of ``value``.
+
+    A pair that shares several lists belongs to the one with the smallest value.  Rows that share too few values with the others of the block go first, until nothing changes: in a list
     kept together by one common passage that is nearly all of them.
     """
     need = np.ceil(ESTIMATE * np.minimum((sketch != PAD).sum(axis=1), SKETCH))
@@ -150,7 +158,9 @@ def _near_pairs(sketch: np.ndarray, component: np.ndarray, n: np.ndarray) -> tup
         rest = rest[(component[rest] != component[a]) & _fits(n[rest], n[a])]
         for start in range(0, len(rest), 1024):
             part = rest[start : start + 1024]
-            near = part[estimates(np.broadcast_to(sketch[a], (len(part), SKETCH)), sketch[part]) >= ESTIMATE]
+            mine = np.broadcast_to(sketch[a], (len(part), SKETCH))
+            part = part[_first_shared(mine, sketch[part]) == value]
+            near = part[estimates(mine[: len(part)], sketch[part]) >= ESTIMATE]
             firsts.append(np.full(len(near), a))
             seconds.append(near)
     if not firsts:
@@ -215,8 +225,40 @@ def _star_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {key}, b {key}")
 
 
-def _block_pairs(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Near pairs of different components in the lists that have several."""
+def _linked(texts: pa.ChunkedArray, a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows that are near enough on whole sets, and that join what earlier ones left apart."""
+    sets: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def whole(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(zstandard.decompress(texts[i].as_py()), size)
+        return sets[i]
+
+    def root(i: int) -> int:
+        while parent.get(i, i) != i:
+            parent[i] = parent.get(parent[i], parent[i])
+            i = parent[i]
+        return i
+
+    firsts, seconds = [], []
+    for i, j in zip(a.tolist(), b.tolist()):
+        if root(i) == root(j):
+            continue
+        one, other = whole(i), whole(j)
+        common = len(np.intersect1d(one, other, assume_unique=True))
+        if 100 * common >= PERCENT * (len(one) + len(other) - common):
+            parent[root(i)] = root(j)
+            firsts.append(i)
+            seconds.append(j)
+    return np.array(firsts, np.int64), np.array(seconds, np.int64)
+
+
+def _block_links(lists: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links between different components in the lists that have several; a forest of them for each block.
+
+    Candidates stay inside the task that compares them on whole sets; only links come out.
+    """
     labelled = lists.select("value", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.select("value", "id", F.coalesce("component", "id").alias("component"))
     labelled = stage(labelled, "labelled")
@@ -224,7 +266,7 @@ def _block_pairs(lists: DataFrame, classes: DataFrame, found: DataFrame) -> Data
         F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     sizes = stage(sizes.where("low <> high").select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "sizes")
-    open_lists = labelled.join(sizes, "value").join(classes.select("id", "n", "sketch"), "id")
+    open_lists = labelled.join(sizes, "value").join(classes.select("id", "n", "sketch"), "id").join(texts, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = open_lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
@@ -235,18 +277,20 @@ def _block_pairs(lists: DataFrame, classes: DataFrame, found: DataFrame) -> Data
         F.xxhash64("component").alias("component"),
         "n",
         "sketch",
+        "packed",
     )
     key = classes.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         sketch = _matrix(table.column("sketch").chunk(0))
-        a, b = _near_pairs(sketch, table.column("component").to_numpy(), table.column("n").to_numpy())
+        value = table.column("value")[0].as_py()
+        a, b = _near_pairs(sketch, table.column("component").to_numpy(), table.column("n").to_numpy(), value)
+        a, b = _linked(table.column("packed"), a, b, size)
         ids = table.column("id")
         return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
 
-    pairs = spread.groupBy("value", "i", "j").applyInArrow(run, f"a {key}, b {key}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return spread.groupBy("value", "i", "j").applyInArrow(run, f"a {key}, b {key}").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,6 +302,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id",
     with that id is kept.  A document without words, or with a null id, is linked with nothing and kept.
     Rows that repeat an id are one node of the graph: all with the smallest id are kept.
     """
+    short_batches(docs.sparkSession)
     sketched = stage(sketch_docs(docs, size, id_col, text_col), "sketches")
     usable = sketched.where("n > 0 AND id IS NOT NULL")
     first = usable.groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "sketch")).alias("one"))
@@ -273,11 +318,14 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id",
     lists = able.select("id", "score", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
     lists = stage(lists, "lists")
 
-    texts = _packed(docs, id_col, text_col).join(able.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    texts = stage(texts, "texts")
+    repeated = usable.groupBy("id").agg((F.count("*") > 1).alias("several"))
+    wanted = able.select("id").join(repeated, "id")
+    texts = stage(_packed(docs, id_col, text_col).join(wanted, "id"), "texts")
+    # only ids that repeat have texts to choose from
+    texts = texts.where("NOT several").union(texts.where("several").dropDuplicates(["id"])).select("id", "packed")
     stars = stage(_confirmed(_star_pairs(lists, able), texts, size), "links")
     found = components(stars)
-    rest = stage(_confirmed(_block_pairs(lists, able, found), texts, size), "links")
+    rest = stage(_block_links(lists, able, found, texts, size), "links")
     found = components(stars.union(rest))
 
     members = sketched.join(classes.select("s1", "s2", F.col("id").alias("node")), ["s1", "s2"], "left")
