@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabfold.llm.arrays import flat, mix, words
+from tabfold.llm.arrays import flat, mix, short_batches, slices, text_list, words
 from tabfold.workspace import stage
 
 FUNCTIONS = 64
@@ -48,14 +49,14 @@ def _of_weight_one(functions: int) -> np.ndarray:
 def _keys(seed: np.ndarray, weight: np.ndarray, functions: int) -> np.ndarray:
     """log a of each weighted term under each function; the smallest is the sample.
 
-    t = floor(log w / r + beta); log a = log c - r (t - beta) - r.  The value tells (term, t) apart.
+    t = floor(log w / r + beta); log a = log c + r (beta - t - 1).  The value tells (term, t) apart.
     """
     out = _of_weight_one(functions)[seed]
     many = np.flatnonzero(weight > 1)
     if len(many):
         r, log_c, beta = (table[seed[many]] for table in variates(functions))
         t = np.floor(np.log(weight[many]).astype(np.float32)[:, None] / r + beta)
-        out[many] = log_c - r * (t - beta) - r
+        out[many] = log_c + r * (beta - t - np.float32(1.0))  # bit for bit as above where t is 0
     return out
 
 
@@ -106,8 +107,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tabfold.llm.arrays import slices
-
         for batch in slices(batches, "text"):
             found = signatures(*flat(batch.column("text")), functions)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([to_hex(s) for s in found])], [id_col, "fingerprint"])
@@ -182,19 +181,27 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and last text, and those few rows, two a range, are paired in a second step.
     """
     spark = docs.sparkSession
-    source = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+    short_batches(spark)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches, "text"):
+            packed = pa.array([shrink(t.encode()) for t in text_list(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("crc"), packed], ["id", "crc", "packed"])
+
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("id").asc_nulls_first(), F.crc32(F.col("text").cast("binary"))]
-    ranged = source.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    order = [F.col("id").asc_nulls_first(), "crc"]
+    packed = source.mapInArrow(pack, "id long, crc long, packed binary")  # the texts are shuffled compressed
+    ranged = packed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            column = batch.column("text")
+            column = batch.column("packed")
             for i in range(batch.num_rows):
-                yield ids[i], column[i].as_py()
+                yield ids[i], zstandard.decompress(column[i].as_py()).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
