@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabfold.llm import bpe, decontam, quality, sketches, suffix
 from tabfold.workspace import stage
 
+#: Fifty words have about as many bytes or more.
+REPEAT_BYTES = 250
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -23,13 +26,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies (runs of five words, similarity 0.8): that with the smallest id."""
     judged = sketches.near_duplicates(docs)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id")).hint("merge")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents without the byte strings of 400 that repeat, cut at whole code points; lengths follow."""
-    done = suffix.remove_repeats(docs, whole_points=True)
+    """All documents without the strings of ``REPEAT_BYTES`` that repeat, cut at whole code points; lengths follow."""
+    done = suffix.remove_repeats(docs, length=REPEAT_BYTES, whole_points=True)
     renewed = {"text": F.col("kept_text").cast("string")}
     if "n_chars" in docs.columns:
         renewed["n_chars"] = F.length(renewed["text"]).cast(docs.schema["n_chars"].dataType)

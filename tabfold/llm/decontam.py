@@ -116,7 +116,7 @@ def leaks(
     hits = windows.join(looked_for, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
     hits = stage(hits.withColumnRenamed("id", "hit"), "hits")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(hits, F.col("id").eqNullSafe(F.col("hit")))
+    texts = texts.join(hits.hint("merge"), F.col("id").eqNullSafe(F.col("hit")))  # hits grow with the corpus
     texts = texts.select("id", "hits", _raw(F.col("text").cast("string")).alias("raw"))
     texts = texts.select("id", "hits", "raw", template(F.col("raw")).alias("words"))
     lifted = F.transform(
@@ -166,7 +166,7 @@ def leaks(
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents that leak no item, with all their columns."""
     leaked = leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("leaked_id")).distinct()
-    leaked = stage(leaked, "leaked")
+    leaked = stage(leaked, "leaked").hint("merge")
     return docs.join(leaked, docs[id_col].eqNullSafe(leaked["leaked_id"]), "left_anti")
 
 
