@@ -1,9 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: code points become one of 64 symbols (upper-case letters one symbol, digits
-one, the most frequent other signs of the trusted text one each, the rest two), and the order is four, so
-a table of all contexts and signs has at most 64**4 cells whatever the corpus.  Counts, continuation counts
-and context totals are sharded by n-gram and by context and joined order by order in Spark.
+The queries count the code points of all trusted documents, and score by joins, see ``ngrams``.  ``Model``
+is the same model for a short sample: 64 character classes (upper-case letters one, digits one, the most
+frequent other signs one each, the rest two) and a table of at most 64**4 cells on the driver.
 
 A document is rejected when its mean negative log-likelihood is above the quantile that trusted documents of
 its language reach, with an allowance for the noise of short texts.
@@ -18,12 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
+from tabfold.llm import ngrams
 from tabfold.llm.arrays import short_batches, slices, text_list
+from tabfold.llm.ngrams import discounts as _discounts
 from tabfold.workspace import stage
 
 ORDER = 4
@@ -31,8 +30,6 @@ BITS = 6
 SYMBOLS = 1 << BITS
 START, UPPER, DIGIT, LETTER, SIGN, FIRST_FREE = range(6)
 
-#: Bound of the fitted sample: trusted documents the counts are taken from.
-SAMPLE_DOCUMENTS = 6_000
 #: Languages with fewer trusted documents use the quantile of all.
 FEWEST_TRUSTED = 50
 LANGUAGES = 512
@@ -112,18 +109,6 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return marks.agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("id")
 
 
-def _discounts(n: list[int]) -> tuple[float, float, float]:
-    """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
-    n1, n2, n3, n4 = n
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = (
-        1 - 2 * y * n2 / n1 if n1 else 0.5,
-        2 - 3 * y * n3 / n2 if n2 else 1.0,
-        3 - 4 * y * n4 / n3 if n3 else 1.5,
-    )
-    return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw))
-
-
 def fit(sample: DataFrame, text_col: str = "text") -> Model:
     """Counts of the sample's texts, joined into a model.  Null and empty texts add nothing."""
     short_batches(sample.sparkSession)
@@ -196,24 +181,23 @@ def mean_loss(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def loss_column(docs: DataFrame, text: Column, model: Model) -> Column:
-    """``mean_loss`` of a text column; null for null and empty texts."""
-    short_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 64**4 + 64**3 + ... cells
-
-    @pandas_udf("double")
-    def loss(texts: pd.Series) -> pd.Series:
-        found = mean_loss(["" if t is None else t for t in texts], shared.value)
-        return pd.Series(found).astype(object).where(~np.isnan(found), None)
-
-    return loss(text.cast("string"))
-
-
-def fit_trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of at most ``SAMPLE_DOCUMENTS`` trusted documents, the first by a hash of the id."""
-    ids = trusted_ids(labels, id_col).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return fit(sample.join(F.broadcast(ids), "id", "left_semi"))
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, lang, n, mark, loss`` of every row under the model of all trusted documents, and the limits, both staged."""
+    text = F.col(text_col).cast("string")
+    fields = ["id", "lang", "n", "mark"]
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
+        F.length(text).alias("n"),
+        F.xxhash64(text).alias("mark"),
+        text.alias("text"),
+    )
+    packed = ngrams.blocks(rows, fields)
+    listed = packed.select("block", F.posexplode("rows.id").alias("place", "id"))
+    places = listed.join(trusted_ids(labels, id_col), "id").groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    model = ngrams.fit(packed.join(places.hint("merge"), "block"))  # the blocks with trusted texts grow with the corpus
+    scored = stage(ngrams.losses(packed, model, fields), "losses")
+    return scored, _bounded(thresholds(scored, labels.withColumnRenamed(id_col, "doc_id")))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -240,15 +224,6 @@ def _kept() -> Column:
     return F.col("loss").isNotNull() & (F.coalesce(net <= F.col("limit"), F.lit(True)))
 
 
-def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-        F.length(F.col(text_col).cast("string")).alias("n"),
-        loss_column(docs, F.col(text_col), model).alias("loss"),
-    )
-
-
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -257,9 +232,7 @@ def classify(
     A null or empty text has null perplexity and is rejected.  A null language is the language ``und``.
     ``limit`` is the perplexity a text of this language and length may have, null where nothing is trusted.
     """
-    model = fit_trusted(docs, labels, id_col, text_col)
-    scored = stage(_scored(docs, model, id_col, text_col, lang_col), "losses")
-    limits = _bounded(thresholds(scored, labels.withColumnRenamed(id_col, "doc_id")))
+    scored, limits = _judged(docs, labels, id_col, text_col, lang_col)
     judged = scored.join(F.broadcast(limits), "lang")
     return judged.select(
         F.col("id").alias(id_col),
@@ -279,15 +252,11 @@ def _bounded(limits: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that ``classify`` keeps, with all their columns; scores are computed again, texts not moved."""
-    model = fit_trusted(docs, labels, id_col, text_col)
-    scored = stage(_scored(docs, model, id_col, text_col, lang_col), "losses")
-    limits = _bounded(thresholds(scored, labels.withColumnRenamed(id_col, "doc_id")))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = docs.select(
-        row.alias("row"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-        F.length(F.col(text_col).cast("string")).alias("n"),
-        loss_column(docs, F.col(text_col), model).alias("loss"),
-    )
-    return again.join(F.broadcast(limits), "lang").where(_kept()).select("row.*")
+    """The rows that ``classify`` keeps, with all their columns; rows of one id are told apart by language and text."""
+    scored, limits = _judged(docs, labels, id_col, text_col, lang_col)
+    kept = scored.join(F.broadcast(limits), "lang").where(_kept())
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("lang").alias("kept_lang"), F.col("mark").alias("kept_mark"))
+    kept = kept.hint("merge")  # as many rows as documents
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (lang == F.col("kept_lang"))
+    return docs.join(kept, same & (F.xxhash64(F.col(text_col).cast("string")) == F.col("kept_mark")), "left_semi")

@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tabfold.llm import bpe, fingerprint, language, quality, queries
+from tabfold.llm import bpe, fingerprint, language, ngrams, quality, queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 RANKS = queries.RANKS
@@ -164,6 +164,69 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept.count() == quality.classify(docs, labels).where("kept").count()
 
 
+def test_quality_counts_every_sign_of_every_trusted_document(spark):
+    """Perplexity of texts in 300 different letters, from plain counts over code points."""
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(letters, 40)) for _ in range(30)] + ["Abab abba 12\U0001f600", "abAB"]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).where("doc_id <> 31")
+    counts = {4: {}}
+    for t in texts[:-1]:
+        row = [None] * 3 + list(t)
+        for i in range(3, len(row)):
+            key = tuple(row[i - 3 : i + 1])
+            counts[4][key] = counts[4].get(key, 0) + 1
+    for order in (3, 2, 1):
+        counts[order] = {}
+        for key in counts[order + 1]:
+            counts[order][key[1:]] = counts[order].get(key[1:], 0) + 1
+    after = {}
+    for of in counts.values():
+        for key, n in of.items():
+            after.setdefault((len(key), key[:-1]), []).append(n)
+    cuts = {o: quality._discounts([sum(v == k for v in of.values()) for k in (1, 2, 3, 4)]) for o, of in counts.items()}
+
+    def p(key):
+        if not key:
+            return 1 / 0x110000
+        inside, cut = after.get((len(key), key[:-1])), cuts[len(key)]
+        if not inside:
+            return p(key[1:])
+        own = counts[len(key)].get(key, 0)
+        share = max(own - cut[min(own, 3) - 1], 0) if own else 0
+        return (share + sum(cut[min(v, 3) - 1] for v in inside) * p(key[1:])) / sum(inside)
+
+    found = {r["doc_id"]: r["perplexity"] for r in quality.classify(docs, labels).collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        row = [None] * 3 + list(t)
+        loss = -np.mean([math.log(p(tuple(row[j - 3 : j + 1]))) for j in range(3, len(row))])
+        assert math.isclose(math.log(found[i]), loss, abs_tol=1e-4), t
+
+
+def test_blocks_and_stretches_do_not_change_losses(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(60) for t in ("documents", "labels"))
+    packed = ngrams.blocks(docs.coalesce(1), ["doc_id"])
+    assert packed.count() == 1
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", 20_000)
+    small = ngrams.blocks(docs.coalesce(1), ["doc_id"])
+    assert small.count() > 3 and sorted(r["doc_id"] for r in small.select(F.explode("rows.doc_id").alias("doc_id")).collect()) == sorted(
+        r["doc_id"] for r in docs.collect()
+    )
+    all_places = F.sequence(F.lit(0), F.size("rows") - 1).alias("places")
+    models = [ngrams.fit(b.select("*", all_places)) for b in (packed, small)]
+    one, other = ({r["doc_id"]: r["loss"] for r in ngrams.losses(b, m, ["doc_id"]).collect()} for b, m in zip((packed, small), models))
+    assert one.keys() == other.keys() and all(math.isclose(one[k], other[k], abs_tol=1e-5) for k in one)
+    signs, place, _ = ngrams._signs(["".join(map(chr, range(1000, 1400))) * 3])
+    whole = [ngrams._parts(code, seen) for _, code, seen in ngrams._grams(signs, place)]
+    monkeypatch.setattr(ngrams, "LOCAL_SIGNS", 100)
+    parts = [ngrams._parts(code, seen) for _, code, seen in ngrams._grams(signs, place)]
+    assert len(whole) == 1 < len(parts)
+    for k in range(2):
+        assert np.array_equal(whole[0][k], np.concatenate([x[k] for x in parts]))
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     found = quality.classify(odd, labels).collect()
