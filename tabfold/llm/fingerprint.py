@@ -3,8 +3,8 @@
 A document is a bag of words; the weight of a term is its count.  For every hash function the sample of a
 weighted bag is drawn with gamma variates that depend only on the function and the term, so two bags draw
 the same sample with a probability equal to their generalised Jaccard similarity, sum(min) / sum(max).
-Terms are 64-bit hashes of words; the variates of a term come from 2**16 seeds picked by its hash, so in
-a pair of unrelated documents of n words each about n / 65536 of the terms agree by chance.
+Terms are 64-bit hashes of words, each weighed by itself; its variates are scrambles of the whole hash and
+the number of the function.
 """
 
 from __future__ import annotations
@@ -18,46 +18,56 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabfold.llm.arrays import flat, mix, short_batches, slices, text_list, words
+from tabfold.llm.arrays import BASE, flat, mix, short_batches, slices, text_list, words
 from tabfold.workspace import stage
 
 FUNCTIONS = 64
-SEEDS = 1 << 16
+#: Different terms, and weighted terms of texts, worked on at once.
+TERMS = 1 << 12
+PAIRS = 1 << 14
 
 
 @lru_cache(maxsize=2)
-def variates(functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each seed and function: r and log c from Gamma(2, 1), beta from U(0, 1)."""
-    cell = np.arange(SEEDS * functions, dtype=np.uint64).reshape(SEEDS, functions)
+def _salts(functions: int) -> np.ndarray:
+    """One 64-bit word for each of three streams and each function."""
+    return mix(np.arange(1, 3 * functions + 1, dtype=np.uint64) * np.uint64(BASE)).reshape(3, functions)
 
-    def uniform(stream: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            bits = mix(cell * np.uint64(8) + np.uint64(stream) + np.uint64(0x5851F42D4C957F2D))
-        return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
-    r = -np.log(uniform(0) * uniform(1))
-    log_c = np.log(-np.log(uniform(2) * uniform(3)))
-    return r.astype(np.float32), log_c.astype(np.float32), uniform(4).astype(np.float32)
+def _halves(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers inside (0, 1) of the halves of 64-bit words."""
+    scale = np.float32(2.0**-24)
+    high = ((bits >> np.uint64(41)).astype(np.float32) * np.float32(2) + np.float32(1)) * scale
+    low = ((bits & np.uint64((1 << 23) - 1)).astype(np.float32) * np.float32(2) + np.float32(1)) * scale
+    return high, low
 
 
-@lru_cache(maxsize=2)
-def _of_weight_one(functions: int) -> np.ndarray:
-    r, log_c, beta = variates(functions)
-    return log_c + r * (beta - np.float32(1.0))
+def variates(term: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each 64-bit term and function: r and log c from Gamma(2, 1), beta from U(0, 1)."""
+    salts = _salts(functions)
+    spread = mix(term)[:, None]
+    a, b = _halves(mix(spread ^ salts[0]))
+    r = -np.log(a * b)
+    a, b = _halves(mix(spread ^ salts[1]))
+    log_c = np.log(-np.log(a * b))
+    return r, log_c, _halves(mix(spread ^ salts[2]))[0]
 
 
-def _keys(seed: np.ndarray, weight: np.ndarray, functions: int) -> np.ndarray:
-    """log a of each weighted term under each function; the smallest is the sample.
+def _keys(term: np.ndarray, at: np.ndarray, weight: np.ndarray, functions: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """log a of weighted terms ``term[at]`` under each function, by stretch; the smallest is the sample.
 
     t = floor(log w / r + beta); log a = log c + r (beta - t - 1).  The value tells (term, t) apart.
     """
-    out = _of_weight_one(functions)[seed]
-    many = np.flatnonzero(weight > 1)
-    if len(many):
-        r, log_c, beta = (table[seed[many]] for table in variates(functions))
-        t = np.floor(np.log(weight[many]).astype(np.float32)[:, None] / r + beta)
-        out[many] = log_c + r * (beta - t - np.float32(1.0))  # bit for bit as above where t is 0
-    return out
+    tables = variates(term, functions)
+    one = tables[1] + tables[0] * (tables[2] - np.float32(1.0))
+    for start in range(0, len(at), PAIRS):
+        part = slice(start, start + PAIRS)
+        out = one[at[part]]
+        many = np.flatnonzero(weight[part] > 1)
+        if len(many):
+            r, log_c, beta = (table[at[part][many]] for table in tables)
+            t = np.floor(np.log(weight[part][many]).astype(np.float32)[:, None] / r + beta)
+            out[many] = log_c + r * (beta - t - np.float32(1.0))  # bit for bit as above where t is 0
+        yield part, out
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
@@ -67,21 +77,25 @@ def signatures(data: np.ndarray, offsets: np.ndarray, functions: int = FUNCTIONS
     text, _, _, term = words(data, offsets)
     if not len(text):
         return out
-    # weights by text and seed: equal pairs meet after one sort
-    pair = (text.astype(np.uint64) << np.uint64(16)) | (term >> np.uint64(48))
-    pair, weight = np.unique(pair, return_counts=True)
-    owner = (pair >> np.uint64(16)).astype(np.int64)
-    seed = (pair & np.uint64(SEEDS - 1)).astype(np.int64)
-    step = 1 << 14
-    start = 0
-    while start < len(owner):
-        stop = min(start + step, len(owner))
-        keys = _keys(seed[start:stop], weight[start:stop], functions)
-        own = owner[start:stop]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        low = np.minimum.reduceat(keys, first, axis=0)
-        out[own[first]] = np.fmin(out[own[first]], low)
-        start = stop
+    # weights by term and text: equal pairs meet after one sort, the variates of a term are made once
+    order = np.lexsort((text, term))
+    owner, term = text[order].astype(np.int64), term[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])))
+    weight = np.diff(np.append(first, len(owner)))
+    owner, term = owner[first], term[first]
+    starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    ends = np.append(starts, len(term))
+    for start in range(0, len(starts), TERMS):
+        some = ends[start : start + TERMS + 1]
+        low, high = some[0], some[-1]
+        at = np.repeat(np.arange(len(some) - 1), np.diff(some))
+        for part, keys in _keys(term[some[:-1]], at, weight[low:high], functions):
+            own = owner[low:high][part]
+            turn = np.argsort(own, kind="stable")
+            own = own[turn]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            least = np.minimum.reduceat(keys[turn], begin, axis=0)
+            out[own[begin]] = np.fmin(out[own[begin]], least)
     return out
 
 

@@ -262,6 +262,19 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
 
 
+def test_collision_rate_of_long_texts():
+    """Exact generalised Jaccard similarity of texts of 50,000 different words and more, also without a common one."""
+    for common in (0, 20_000):
+        one = [f"a{i}" for i in range(60_000)]
+        other = one[:common] + [f"b{i}" for i in range(60_000 - common)] + one[: common // 2]
+        texts = [" ".join(one).encode(), " ".join(other).encode()]
+        offsets = np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])])
+        a, b = fingerprint.signatures(np.frombuffer(b"".join(texts), np.uint8), offsets, 256)
+        x, y = _bag(texts[0].decode()), _bag(texts[1].decode())
+        true = sum(min(x.get(w, 0), y.get(w, 0)) for w in {*x, *y}) / sum(max(x.get(w, 0), y.get(w, 0)) for w in {*x, *y})
+        assert abs(fingerprint.likeness(a, b) - true) < (0.01 if not common else 0.1)
+
+
 def test_fingerprints_against_the_next_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
