@@ -6,7 +6,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabfold.llm import bpe, decontam, fingerprint, language, licenses, quality, sharding, sketches, suffix, urls
+from tabfold.llm import (
+    bpe,
+    conversations,
+    decontam,
+    fingerprint,
+    language,
+    licenses,
+    quality,
+    sharding,
+    sketches,
+    spelling,
+    suffix,
+    urls,
+    warc,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -69,6 +83,18 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.against_next(_table(spark, folder, "documents"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, folder, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.shared_beginnings(_table(spark, folder, "conversations"))
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -84,8 +110,17 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_fingerprint": op10_fingerprint,
+    "op11_spelling": op11_spelling,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
-ORACLES = {"op2_decontamination": decontam.leaks_sql(), "op6_url_filter": urls.judge_sql(URL_RULES)}
+ORACLES = {
+    "op2_decontamination": decontam.leaks_sql(),
+    "op6_url_filter": urls.judge_sql(URL_RULES),
+    "op11_spelling": spelling.variants_sql(),
+    "op12_conversation_trie": conversations.shared_beginnings_sql(),
+    "op13_warc": warc.round_trip_sql(),
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
