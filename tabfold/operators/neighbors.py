@@ -1,12 +1,7 @@
 """Exact k nearest neighbours and the votes taken over them.
 
-The search never forms all pairs.  Training rows are cut into chunks of bounded size, test rows are
-sent only to the chunks that can hold one of their neighbours, a task compares one block of test rows
-with one chunk, and only the k best per test row and chunk leave it.
-
-Which chunks can matter follows from the triangle inequality.  A chunk holds rows whose nearest pivot
-is p at a distance between lo and hi; for a test row at distance t from p no row of the chunk is nearer
-than max(t - hi, lo - t, 0).  The nearest chunk is searched first and gives each test row its bound.
+Training rows that fit one chunk are compared with blocks of test rows at once, and only the k best per test row leave a
+task.  Larger tables are scanned by compact codes first, see ``quantised``; the result is the same.
 """
 
 from __future__ import annotations
@@ -18,32 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tabfold.operators.ranking import SEED, shuffle_key
+from tabfold.operators.joins import join_popular, popular
+from tabfold.operators.quantised import BLOCK_ROWS, CHUNK_ROWS, matrix, refine, scan
 from tabfold.workspace import stage
 
-CHUNK_ROWS = 16384
-BLOCK_ROWS = 16384
 PAIRS_PER_BLOCK = 1 << 23
-MAX_CHUNKS = 65536
-MAX_PIVOTS = 256
-RING_GRID = 64
 _PAIRS_PER_STEP = 1 << 21
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Arrow list column -> (rows, dimensions) matrix of doubles."""
-    rows = len(column)
-    if rows == 0:
-        return np.zeros((0, 0))
-    values = column.combine_chunks()
-    if isinstance(values, pa.ChunkedArray):
-        values = pa.concat_arrays(values.chunks)
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if len(flat) % rows or np.isnan(flat).any():
-        raise ValueError("features must have equal length and no missing values")
-    return flat.reshape(rows, -1)
-
-
 def best_in_chunk(
     test: np.ndarray,
     train: np.ndarray,
@@ -120,7 +97,7 @@ def _compare(schema: T.StructType, k: int, grouped: bool):
         groups = (None, None)
         if grouped:
             groups = (test["grp"].to_numpy(), train["grp"].to_numpy())
-        i, j, dist = best_in_chunk(_matrix(test["features"]), _matrix(train["features"]), k, *groups)
+        i, j, dist = best_in_chunk(matrix(test["features"]), matrix(train["features"]), k, *groups)
         found = train.take(pa.array(j))
         columns = {
             "test_id": test["test_id"].take(pa.array(i)),
@@ -198,175 +175,11 @@ def k_nearest(
         copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("cell")
         found = _search(left.select("*", cell), right.select("*", copies), fields, k)
     else:
-        found = _pruned_search(left, right, fields, k, train_count, chunk_rows, block_rows)
+        pairs = scan(left, right, k, train_count, chunk_rows, block_rows)
+        found = refine(pairs, left, right, fields.result())
     return _best(found, k)
 
 
-def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squared = (
-        np.einsum("ij,ij->i", points, points)[:, None]
-        + np.einsum("ij,ij->i", pivots, pivots)[None, :]
-        - 2.0 * (points @ pivots.T)
-    )
-    return np.sqrt(np.maximum(squared, 0.0))
-
-
-@dataclass
-class _Chunks:
-    """Outline of the train chunks, at most ``MAX_CHUNKS`` of them: safe to ship to every task."""
-
-    pivots: np.ndarray
-    cell: np.ndarray  # pivot of each ring
-    low: np.ndarray
-    high: np.ndarray
-    rows: np.ndarray
-    first: np.ndarray  # first chunk number of each ring
-    splits: np.ndarray  # chunks of each ring
-
-
-def _pruned_search(left, right, fields, k, train_count, chunk_rows, block_rows) -> DataFrame:
-    spark = left.sparkSession
-    chunk_rows = max(chunk_rows, math.ceil(train_count / MAX_CHUNKS))
-    # copies of one vector beyond the k smallest ids can be nobody's neighbour
-    copies = Window.partitionBy(*(["grp"] if fields.group else []), "features").orderBy("train_id")
-    right = right.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k).drop("_n")
-    pivot_count = min(MAX_PIVOTS, max(2, math.ceil(train_count / chunk_rows)))
-    pivots = np.array(
-        [
-            r["features"]
-            for r in right.orderBy(shuffle_key("train_id", SEED), "train_id")
-            .select("features")
-            .limit(pivot_count)
-            .collect()
-        ]
-    )
-
-    def nearest_pivot(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gaps = _distances(_matrix(pa.chunked_array([batch.column("features")])), pivots)
-            cell = gaps.argmin(axis=1)
-            columns = list(batch.columns) + [
-                pa.array(cell.astype(np.int32)),
-                pa.array(gaps[np.arange(len(cell)), cell]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_pivot", "_gap"])
-
-    placed_schema = T.StructType(
-        right.schema.fields
-        + [T.StructField("_pivot", T.IntegerType()), T.StructField("_gap", T.DoubleType())]
-    )
-    placed = stage(right.mapInArrow(nearest_pivot, placed_schema), "train-cells")
-
-    grid = [i / RING_GRID for i in range(1, RING_GRID)]
-    borders = placed.groupBy("_pivot").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_gap", grid, 10000).alias("q")
-    )
-    edges = []
-    for row in borders.collect():  # one row per pivot
-        rings = min(RING_GRID, math.ceil(row["n"] / chunk_rows))
-        at = [row["q"][round(i * RING_GRID / rings) - 1] for i in range(1, rings)]
-        edges.append((row["_pivot"], sorted(set(at))))
-    edge_table = spark.createDataFrame(edges, "_pivot int, _edges array<double>")
-    # at most MAX_PIVOTS rows of RING_GRID numbers, hence the broadcast
-    ringed = placed.join(F.broadcast(edge_table), "_pivot").withColumn(
-        "_ring", F.size(F.filter("_edges", lambda e: e < F.col("_gap")))
-    )
-    rings = (
-        ringed.groupBy("_pivot", "_ring")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_gap").alias("lo"), F.max("_gap").alias("hi"))
-        .orderBy("_pivot", "_ring")
-        .collect()  # at most MAX_PIVOTS x RING_GRID rows
-    )
-    splits = np.array([max(1, math.ceil(r["n"] / chunk_rows)) for r in rings])
-    first = np.concatenate([[0], np.cumsum(splits)[:-1]])
-    outline = _Chunks(
-        pivots,
-        np.array([r["_pivot"] for r in rings]),
-        np.array([r["lo"] for r in rings]),
-        np.array([r["hi"] for r in rings]),
-        np.array([r["n"] for r in rings]),
-        first,
-        splits,
-    )
-    ring_table = spark.createDataFrame(
-        [(r["_pivot"], r["_ring"], int(f), int(s)) for r, f, s in zip(rings, first, splits)],
-        "_pivot int, _ring int, _first int, _splits int",
-    )
-    chunked = ringed.join(F.broadcast(ring_table), ["_pivot", "_ring"]).withColumn(
-        "_chunk", F.col("_first") + F.pmod(F.xxhash64("train_id"), F.col("_splits")).cast("int")
-    )
-    chunked = chunked.select(*right.columns, "_chunk")
-
-    home = stage(_route(left, outline, k, first_pass=True), "test-home")
-    near = stage(_visit(home, chunked, fields, k, block_rows), "near")
-    bound = _best(near, k).filter(F.col("rank") == k).select("test_id", F.col("dist").alias("_bound"))
-    bounded = home.drop("_chunks").join(bound, "test_id", "left")
-    rest = stage(_route(bounded, outline, k, first_pass=False), "test-rest")
-    far = _visit(rest, chunked, fields, k, block_rows)
-    return near.unionByName(far)
-
-
-def _route(test: DataFrame, outline: _Chunks, k: int, first_pass: bool) -> DataFrame:
-    """Add ``_chunks``: first the chunks of the nearest ring, then all others within the bound."""
-    chunks_of = [
-        np.arange(f, f + s, dtype=np.int32) for f, s in zip(outline.first, outline.splits)
-    ]
-    scale = 1e-9 * (1.0 + float(np.abs(outline.high).max(initial=0.0)))
-
-    def route(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            points = _matrix(pa.chunked_array([batch.column("features")]))
-            gaps = _distances(points, outline.pivots)[:, outline.cell]
-            # rounding of the inner products grows with the distances themselves
-            slack = scale + 1e-7 * gaps
-            reach = gaps + outline.high[None, :] + np.where(outline.rows >= k, 0.0, np.inf)[None, :]
-            home = np.where(np.isfinite(reach).any(axis=1), reach.argmin(axis=1), gaps.argmin(axis=1))
-            if first_pass:
-                wanted = [chunks_of[h] for h in home]
-            else:
-                floor = np.maximum(gaps - outline.high[None, :], outline.low[None, :] - gaps) - slack
-                bound = batch.column("_bound").to_numpy(zero_copy_only=False).astype(float)
-                bound = np.where(np.isnan(bound), np.inf, bound)
-                open_rings = floor <= bound[:, None]
-                open_rings[np.arange(len(home)), home] = False
-                wanted = [
-                    np.concatenate([chunks_of[r] for r in np.flatnonzero(row)])
-                    if row.any()
-                    else np.zeros(0, dtype=np.int32)
-                    for row in open_rings
-                ]
-            names = [n for n in batch.schema.names if n != "_bound"]
-            columns = [batch.column(n) for n in names] + [pa.array(wanted, type=pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_chunks"])
-
-    fields = [f for f in test.schema.fields if f.name not in ("_bound", "_chunks")]
-    schema = T.StructType(fields + [T.StructField("_chunks", T.ArrayType(T.IntegerType()))])
-    return test.mapInArrow(route, schema)
-
-
-def _visit(routed: DataFrame, chunked: DataFrame, fields: _Fields, k: int, block_rows: int) -> DataFrame:
-    """Search the routed chunks; a chunk asked by many test rows is copied to several tasks."""
-    visits = routed.withColumn("_chunk", F.explode("_chunks")).drop("_chunks")
-    asked = visits.groupBy("_chunk").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias("_blocks")
-    )  # at most MAX_CHUNKS rows
-    block = F.pmod(F.xxhash64("test_id"), F.col("_blocks"))
-    # bounded by MAX_CHUNKS, hence the broadcasts
-    left = visits.join(F.broadcast(asked), "_chunk").withColumn("cell", F.concat_ws(":", "_chunk", block))
-    copies = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    right = (
-        chunked.join(F.broadcast(asked), "_chunk")
-        .withColumn("_block", copies)
-        .withColumn("cell", F.concat_ws(":", "_chunk", "_block"))
-    )
-    drop = ("_chunk", "_blocks", "_block")
-    return _search(left.drop(*drop), right.drop(*drop), fields, k)
-
-
 def vote_uniform(neighbors: DataFrame) -> DataFrame:
     """Most frequent label among the neighbours, ties to the smallest: ``test_id, pred``."""
     votes = neighbors.groupBy("test_id", F.col("payload").alias("pred")).agg(
@@ -399,11 +212,13 @@ def _winner(votes: DataFrame) -> DataFrame:
 def neighbor_rows(neighbors: DataFrame, train: DataFrame, train_id: str, columns: list[str]) -> DataFrame:
     """Join further train columns to each neighbour.
 
-    A train row near to many test rows makes its key hot on the neighbours' side only, where Spark's
-    skew join splits it.
+    A train row near to many test rows would send them all to one task: such rows, found by a count, are
+    broadcast, see ``join_popular``.  The neighbours are written once, as they are counted and joined.
     """
-    wanted = train.select(F.col(train_id).alias("train_id"), *columns)
-    return neighbors.drop("payload").join(wanted, "train_id")
+    neighbors = stage(neighbors.drop("payload"), "neighbours")
+    asked = neighbors.groupBy("train_id").agg(F.count(F.lit(1)).alias("_asked"))
+    wanted = train.select(F.col(train_id).alias("train_id"), *columns).join(asked, "train_id")
+    return join_popular(neighbors, wanted, ["train_id"], popular(F.col("_asked"), neighbors.count())).drop("_asked")
 
 
 def neighbor_lists(rows: DataFrame, columns: list[str]) -> DataFrame:

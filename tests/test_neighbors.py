@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from tabfold.operators import neighbors as N
-from tabfold.operators.vectors import vector_topk, vector_topk_lsh
+from tabfold.operators import neighbors as N, quantised as Q
+from tabfold.operators.vectors import list_pairs, vector_topk, vector_topk_ivf, vector_topk_lsh
 
 SCHEMA = "id bigint, label int, fold int, features array<double>"
 
@@ -115,3 +115,70 @@ def test_hash_buckets_recall(spark):
     rows = found.collect()
     assert len({(r["test_id"], r["rank"]) for r in rows}) == len(rows)
     assert len(exact & {(r["test_id"], r["train_id"]) for r in rows}) / len(exact) > 0.9
+
+
+def test_codes_bound_the_distances():
+    rng = np.random.default_rng(5)
+    for scale in (1e-3, 1.0, 1e6):
+        test, train = rng.normal(size=(40, 16)) * scale + 7 * scale, rng.normal(size=(300, 16)) * scale
+        pivots = train[:2]
+        coded = [Q.Coded(*Q.encode(points, pivot), pivot) for points, pivot in ((test, pivots[0]), (train, pivots[1]))]
+        i, j, low, high = Q.candidates(*coded, 5)
+        exact = np.sqrt(((test[i] - train[j]) ** 2).sum(axis=1))
+        assert (low <= exact).all() and (exact <= high).all()
+        best = _brute(test, train, 5)
+        pairs = set(zip(i.tolist(), j.tolist()))
+        assert all((a, b) in pairs for a, near in best.items() for b, _ in near)
+        assert len(pairs) < 0.2 * 40 * 300
+
+
+def test_few_exact_distances_on_unclustered_vectors(spark):
+    """In 64 dimensions no ring can be ruled out; the codes leave few pairs to measure."""
+    points = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = points.selectExpr("vec_id AS test_id", "vec_id AS train_id", "cast(embedding AS array<double>) AS features", "vec_id % 5 AS grp")
+    n = rows.count()
+    pairs = Q.scan(rows.drop("train_id"), rows.drop("test_id"), 3, n, 64, 64)
+    assert 3 * n <= pairs.count() < 0.2 * n * n * 0.8
+
+
+def test_blocks_and_not_rows_are_copied(spark):
+    """The scan ships packed codes: no test row is joined to chunks by itself."""
+    data = _frame(spark, _points("random", n=300))
+    near = N.k_nearest(data, data, 3, test_id="id", train_id="id", group="fold", chunk_rows=40, block_rows=64)
+    assert near.count() == 900
+
+
+@pytest.mark.parametrize("chunk_rows", [10_000, 30])
+def test_odd_neighbour_tables(spark, chunk_rows):
+    points = np.vstack([np.zeros((50, 3)), np.full((50, 3), 1e9), np.eye(3) * 1e-9])
+    data = _frame(spark, points)
+    names = dict(test_id="id", train_id="id", chunk_rows=chunk_rows, block_rows=16)
+    assert _found(N.k_nearest(data, data, 4, **names)) == _brute(points, points, 4)
+    assert N.k_nearest(data.limit(0), data, 4, **names).count() == 0
+    assert N.k_nearest(data, data.limit(0), 4, **names).count() == 0
+    texts = data.withColumn("id", data["id"].cast("string"))
+    assert N.k_nearest(texts, texts, 2, **names).count() == 2 * len(points)
+
+
+def test_popular_neighbours_are_spread(spark):
+    """One training row is the nearest of all; no task of the join reads all its rows."""
+    points = np.vstack([np.zeros((1, 2)), np.random.default_rng(1).normal(size=(4000, 2)) + 50])
+    data = _frame(spark, points)
+    near = spark.range(1, 4001).selectExpr("id AS test_id", "0L AS train_id", "1.0D AS dist", "1 AS rank", "0 AS payload")
+    joined = N.neighbor_rows(near, data, "id", ["features", "label"])
+    assert joined.count() == 4000 and joined.where("label = 0").count() == 4000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_lists_recall_and_cost(spark):
+    points = _points("clusters", n=1200)
+    data = _frame(spark, points)
+    names = dict(query_id="id", stored_id="id", embedding="features")
+    exact = {(r["test_id"], r["train_id"]) for r in vector_topk(data, data, 5, **names).collect()}
+    rows = vector_topk_ivf(data, data, 5, **names, lists=24, nprobe=6, chunk_rows=40, block_rows=50).collect()
+    assert len({(r["test_id"], r["rank"]) for r in rows}) == len(rows) == 5 * 1200
+    assert len(exact & {(r["test_id"], r["train_id"]) for r in rows}) / len(exact) > 0.9
+    every = vector_topk_ivf(data, data, 5, **names, lists=24, nprobe=24, chunk_rows=40, block_rows=50).collect()
+    assert {(r["test_id"], r["train_id"]) for r in every} == exact
+    assert list_pairs(data, data, 5, **names, lists=24, nprobe=6).count() < 0.1 * 1200 * 1200
