@@ -29,6 +29,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Code points of words worked on at once.
 POINTS = 1 << 18
+#: Code points of the next edges that a walk must agree with before it is sent there.
+AHEAD = 4
 #: Apart from every hash of a word read forwards.
 MIRROR = np.uint64(0x6A09E667F3BCC909)
 
@@ -113,9 +115,9 @@ def _word_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trie(words: DataFrame, sided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges ``node, label, child, ends, heads`` and the walks at their beginnings.
+    """Edges ``node, label, child, ends, heads, head, tail, size`` and the walks at their beginnings.
 
-    ``ends`` tells that the child is a word; ``heads`` lists the first code points of the child's own edges.
+    ``ends`` tells that the child is a word; ``heads`` lists how the child's own edges begin.
     """
     rows = words.select("word").mapInArrow(_prefixes, "id long, depth int, key long, next int, begins boolean")
     nodes = (
@@ -133,10 +135,11 @@ def _trie(words: DataFrame, sided: DataFrame) -> tuple[DataFrame, DataFrame]:
         path[i].key AS child, path[i].ends AS ends))"""
     edges = paths.where("size(path) > 1").select(F.inline(F.expr(step))).distinct()
     edges = stage(edges, "branches")
-    heads = edges.groupBy(F.col("node").alias("child")).agg(
-        F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("heads")
+    heads = edges.groupBy(F.col("node").alias("child")).agg(F.collect_list(F.substring("label", 1, AHEAD)).alias("heads"))
+    edges = edges.join(heads, "child", "left").select(
+        "*", F.substring("label", 1, 1).alias("head"), F.expr("substring(label, 2)").alias("tail"), F.length("label").alias("size")
     )
-    edges = stage(edges.join(heads, "child", "left"), "edges")
+    edges = stage(edges, "edges")
     middle = "filter(path, x -> x.depth = length(text) div 2)[0]"
     walks = paths.select(
         "id",
@@ -149,31 +152,32 @@ def _trie(words: DataFrame, sided: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, walks
 
 
-#: What a walk may do along an edge: pass it unchanged, or, once, with one code point of the edge replaced,
-#: missing from the word, or in excess in the word.
-_MOVES = """filter(array(
-    IF(startswith(rest, label), struct(substring(rest, size + 1) AS rest, edits AS edits), NULL),
-    IF(may AND length(rest) >= size AND levenshtein(substring(rest, 1, size), label, 1) = 1,
-        struct(substring(rest, size + 1) AS rest, 1 AS edits), NULL),
-    IF(may AND length(rest) >= size - 1 AND levenshtein(substring(rest, 1, size - 1), label, 1) = 1,
-        struct(substring(rest, size) AS rest, 1 AS edits), NULL),
-    IF(may AND length(rest) >= size + 1 AND levenshtein(substring(rest, 1, size + 1), label, 1) = 1,
-        struct(substring(rest, size + 2) AS rest, 1 AS edits), NULL)
-), x -> x IS NOT NULL)"""
+#: What a walk may do along an edge: pass it unchanged, or, once, with one code point of the edge replaced, missing from
+#: the word, or in excess in the word.  Most edges begin unlike the rest of the word, so the edit is their first code point
+#: and what follows must be equal; only the edge that begins alike is compared edit by edit.
+_PASSES = "startswith(rest, label)"
+_REPLACED = """IF(alike, length(rest) >= size AND levenshtein(substring(rest, 1, size), label, 1) = 1,
+    rest <> '' AND substring(rest, 2, size - 1) = tail)"""
+_MISSING = """IF(alike, length(rest) >= size - 1 AND levenshtein(substring(rest, 1, size - 1), label, 1) = 1,
+    substring(rest, 1, size - 1) = tail)"""
+_EXCESS = """IF(alike, length(rest) >= size + 1 AND levenshtein(substring(rest, 1, size + 1), label, 1) = 1,
+    substring(rest, 2, size) = label)"""
 
 #: A walk is at a neighbour when a word ends where it is, with its edit made or one code point left over.
 _ARRIVED = "ends AND ((edits = 1 AND rest = '') OR (edits = 0 AND length(rest) = 1))"
-_LIVE = "heads IS NOT NULL AND (edits = 0 OR (rest <> '' AND instr(heads, substring(rest, 1, 1)) > 0))"
+_LIVE = "heads IS NOT NULL AND (edits = 0 OR (rest <> '' AND exists(heads, x -> startswith(rest, x))))"
 
 
 def _walk(walks: DataFrame, edges: DataFrame) -> DataFrame:
     """One round: every walk along every edge of its node; those that lead nowhere are dropped."""
     met = walks.select("id", "rest", "node", "edits").join(edges, "node")
-    met = met.withColumn("size", F.length("label"))
-    met = met.withColumn("may", F.expr("edits = 0 AND NOT startswith(rest, label)"))
-    met = met.where("may OR startswith(rest, label)")
-    moved = met.select("id", "child", "ends", "heads", F.explode(F.expr(_MOVES)).alias("to"))
-    moved = moved.select("id", F.col("to.rest").alias("rest"), F.col("child").alias("node"), F.col("to.edits").alias("edits"), "ends", "heads")
+    met = met.select("*", F.expr("startswith(rest, head)").alias("alike"), F.expr(_PASSES).alias("passes"))
+    met = met.where("passes OR edits = 0")
+    # how many code points of the rest are used up, for each move that is possible
+    used = F.expr(f"""array(IF(passes, size, NULL), IF(passes, NULL, IF({_REPLACED}, size, NULL)),
+        IF(passes, NULL, IF({_MISSING}, size - 1, NULL)), IF(passes, NULL, IF({_EXCESS}, size + 1, NULL)))""")
+    moved = met.select("id", "rest", "child", "ends", "heads", F.expr("IF(passes, edits, 1)").alias("edits"), F.explode(used).alias("used"))
+    moved = moved.where("used IS NOT NULL").select("id", F.expr("substring(rest, used + 1)").alias("rest"), F.col("child").alias("node"), "edits", "ends", "heads")
     moved = moved.select("id", "rest", "node", "edits", "ends", F.expr(_LIVE).alias("live"))
     return moved.where(f"live OR {_ARRIVED}")
 
