@@ -64,6 +64,23 @@ def row_json(columns: list[str], *extra: Column, as_floats: bool = False) -> Col
     return F.to_json(F.struct(*fields, *extra), {"ignoreNullFields": "false"})
 
 
+def variant_row(columns: list[str]) -> Column:
+    """The columns as one VARIANT object, each with its own name and type; gaps are null.
+
+    Objects of this type keep their keys in alphabetical order.
+    """
+    return F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in columns]))
+
+
+def variant_json(row: Column, *, label: Column | None = None) -> Column:
+    """JSON object of a VARIANT row, with the label as its last entry."""
+    text = F.to_json(row)
+    if label is None:
+        return text
+    entry = F.concat(F.lit('"label":'), label.cast("string"), F.lit("}"))
+    return once(text, lambda t: F.when(t == "{}", F.concat(F.lit("{"), entry)).otherwise(F.concat(t.substr(F.lit(1), F.length(t) - 1), F.lit(","), entry)))
+
+
 def features_json(features: str | Column, *, label: Column | None = None) -> Column:
     """JSON object of a feature array, keyed by position."""
     features = F.col(features) if isinstance(features, str) else features

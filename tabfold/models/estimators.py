@@ -94,7 +94,7 @@ class OneVsRestModel:
         if len(self.labels) == 2:
             shares = [1 - shares[0], shares[0]]
         total = sum(shares[1:], shares[0])
-        scored = scored.withColumn("probabilities", F.array(*[s / total for s in shares]))
+        scored = scored.withColumn("probabilities", F.array(*[F.when(total > 0, s / total).otherwise(1.0 / len(shares)) for s in shares]))
         return scored.withColumn("pred", argmax_label(F.col("probabilities"), _labels(self.labels))).select(
             *df.columns, "probabilities", "pred"
         )
@@ -180,7 +180,7 @@ def fit_random_forest(
         return ConstantModel(labels)
     estimator = RandomForestClassifier(
         featuresCol="_vector", labelCol="_code", probabilityCol="_probability", numTrees=n_estimators,
-        maxDepth=min(max_depth or MAX_FOREST_DEPTH, MAX_FOREST_DEPTH), featureSubsetStrategy="sqrt",
+        maxDepth=_depth(max_depth, MAX_FOREST_DEPTH), featureSubsetStrategy="sqrt",
         minInstancesPerNode=min_samples_leaf, seed=seed,
     )
     return VectorModel(labels, _fit(estimator, _coded(train, sizes)))
@@ -213,7 +213,7 @@ def fit_boosted_trees(
         for code in [1] if len(labels) == 2 else range(len(labels)):
             estimator = GBTClassifier(
                 featuresCol="_vector", labelCol="_target", stepSize=learning_rate, maxIter=max_iter,
-                maxDepth=min(max_depth or DEFAULT_BOOST_DEPTH, MAX_FOREST_DEPTH), maxBins=max_bins,
+                maxDepth=_depth(max_depth, DEFAULT_BOOST_DEPTH), maxBins=max_bins,
                 seed=seed, **settings,
             )
             target = (F.col("_code") == code).cast("double")
@@ -249,10 +249,42 @@ def _fit(estimator, coded: DataFrame):
         coded.unpersist()
 
 
+def _values(hp: str) -> dict:
+    # Spark writes a NaN as text, which no estimator takes
+    return json.loads(re.sub(r'"NaN"', "NaN", hp or "{}"))
+
+
+def used_settings(model: str, hp: str) -> str:
+    """The settings that ``fit_candidate`` looks at, as JSON, with the depth that trees really get."""
+    values = _values(hp)
+    if model == "lr":
+        used = {"C": values.get("C", 1.0), "class_weight": values.get("class_weight")}
+    elif model == "rf":
+        used = {
+            "n_estimators": values.get("n_estimators", 600),
+            "max_depth": _depth(values.get("max_depth"), MAX_FOREST_DEPTH),
+            "min_samples_leaf": values.get("min_samples_leaf", 1),
+        }
+    elif model == "hgb":
+        used = {
+            "learning_rate": values.get("learning_rate", 0.06),
+            "max_iter": values.get("max_iter", 400),
+            "max_depth": _depth(values.get("max_depth"), DEFAULT_BOOST_DEPTH),
+        }
+    elif model == "knn":
+        used = {"n_neighbors": values.get("n_neighbors", 31), "weights": values.get("weights", "distance")}
+    else:
+        raise ValueError(f"unknown model {model!r}")
+    return json.dumps(used, sort_keys=True)
+
+
+def _depth(asked: int | None, default: int) -> int:
+    return min(asked or default, MAX_FOREST_DEPTH)
+
+
 def fit_candidate(train: DataFrame, model: str, hp: str):
     """Fit by model name and sanitized hyperparameter JSON."""
-    # Spark writes a NaN as text, which no estimator takes
-    values = json.loads(re.sub(r'"NaN"', "NaN", hp or "{}"))
+    values = _values(hp)
     if model == "lr":
         return fit_logistic(train, C=values.get("C", 1.0), class_weight=values.get("class_weight"))
     if model == "rf":

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabfold.functions.text import row_json
+from tabfold.functions.text import row_json, variant_row
 from tabfold.workspace import stage
 
 MAX_CATEGORIES = 512
 
 
-def split_target(df: DataFrame, target: int, *, carry: list[str] | None = None) -> DataFrame:
+def split_target(df: DataFrame, target: int, *, carry: list[str] | None = None, typed: bool = False) -> DataFrame:
     """``label`` from the column at position ``target``, all others as ``features`` (doubles).
 
-    Columns named in ``carry`` (a row id) keep their names and take no part in the positions.
+    Columns named in ``carry`` (a row id) keep their names and take no part in the positions.  With ``typed`` a column ``row``
+    (VARIANT) holds the other columns by name, as they are: prompts then show 13 as 13, and texts as texts, which are
+    gaps among the features.
     """
     carry = carry or []
     names = [c for c in df.columns if c not in carry]
     if not 0 <= target < len(names):
         raise IndexError(f"no column at position {target}")
-    features = [F.col(f"`{c}`").cast("double") for i, c in enumerate(names) if i != target]
+    others = [c for i, c in enumerate(names) if i != target]
+    features = [F.col(f"`{c}`").try_cast("double") if typed else F.col(f"`{c}`").cast("double") for c in others]
+    row = [variant_row(others).alias("row")] if typed else []
     return df.select(
-        *carry, F.col(f"`{names[target]}`").alias("label"), F.array(*features).alias("features")
+        *carry, F.col(f"`{names[target]}`").alias("label"), F.array(*features).alias("features"), *row
     )
 
 
@@ -212,15 +221,85 @@ def head_records_json(df: DataFrame, n: int, order: str, columns: list[str]) ->
     return head.select(F.row_number().over(place).alias("position"), row_json(columns).alias("record"))
 
 
+def _moments(by: list[str], features: str):
+    """Task that sums up its rows: one row per group with counts, means and squared deviations by position.
+
+    Batches are merged as means and deviations, not as sums of squares, which lose digits.
+    """
+
+    def merge(kept: tuple | None, new: tuple) -> tuple:
+        if kept is None:
+            return new
+        size = max(len(kept[0]), len(new[0]))
+        (n1, m1, d1), (n2, m2, d2) = [[np.pad(x, (0, size - len(x))) for x in part] for part in (kept, new)]
+        n = n1 + n2
+        share = np.divide(n2, n, out=np.zeros(size), where=n > 0)
+        gap = m2 - m1
+        return n, m1 + gap * share, d1 + d2 + gap * gap * n1 * share
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, tuple] = {}
+        kinds = None
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(features)))
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in by]
+            kinds = [k.type for k in keys]
+            named = list(zip(*[k.to_pylist() for k in keys])) if by else [()] * batch.num_rows
+            numbers = {key: i for i, key in enumerate(dict.fromkeys(named))}
+            group = np.array([numbers[key] for key in named])
+            column = batch.column(features)
+            lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            width = int(lengths.max(initial=0))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            cell = np.repeat(group, lengths) * width + place
+            there = ~np.isnan(values)
+            cell, values = cell[there], values[there]
+            cells = width * len(numbers)
+            n = np.bincount(cell, minlength=cells).astype(np.float64)
+            mean = np.divide(np.bincount(cell, values, cells), n, out=np.zeros(cells), where=n > 0)
+            gap = values - mean[cell]
+            # what rounding left in the mean
+            mean += np.divide(np.bincount(cell, gap, cells), n, out=np.zeros(cells), where=n > 0)
+            gap = values - mean[cell]
+            squares = np.bincount(cell, gap * gap, cells)
+            widest = np.zeros(len(numbers), np.int64)
+            np.maximum.at(widest, group, lengths)
+            for key, i in numbers.items():
+                part = slice(i * width, i * width + int(widest[i]))
+                kept[key] = merge(kept.get(key), (n[part], mean[part], squares[part]))
+        if kept:
+            columns = [pa.array([key[i] for key in kept], kind) for i, kind in enumerate(kinds)]
+            columns += [pa.array([part[i].tolist() for part in kept.values()], pa.list_(pa.float64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "_n", "_mean", "_squares"])
+
+    return task
+
+
 def feature_stats(df: DataFrame, features: str, by: list[str] | None = None) -> DataFrame:
     """Rows, mean and population variance per feature position (``pos``), gaps left out.
 
-    Partial aggregation leaves groups x features rows per task.
+    Each task sums up its rows in one buffer by position, so only tasks x groups x features values are shuffled and no row
+    is spread over its features.
     """
-    values = df.select(*(by or []), F.posexplode(features).alias("pos", "x"))
-    value = F.when(~F.isnan("x"), F.col("x"))
-    return values.groupBy(*(by or []), "pos").agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")
+    by = by or []
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([df.schema[c] for c in by] + [T.StructField(n, numbers) for n in ("_n", "_mean", "_squares")])
+    rows = df.select(*by, F.col(features).cast("array<double>").alias(features))
+    parts = rows.mapInArrow(_moments(by, features), schema)
+    entry = F.arrays_zip("_n", "_mean", "_squares")
+    values = parts.select(*by, F.posexplode(entry).alias("pos", "s")).select(*by, "pos", "s._n", "s._mean", "s._squares")
+    keys = [*by, "pos"]
+    whole = Window.partitionBy(*keys)
+    total = F.sum("_n").over(whole)
+    center = F.sum(F.col("_n") * F.col("_mean")).over(whole) / F.when(total > 0, total)
+    values = values.withColumn("_total", total).withColumn("_center", center).withColumn("_off", F.col("_mean") - F.col("_center"))
+    return values.groupBy(*keys).agg(
+        F.sum("_n").cast("bigint").alias("n"),
+        F.first("_center").alias("mean"),
+        F.sum((F.col("_squares") + F.col("_n") * F.col("_off") * F.col("_off")) / F.when(F.col("_total") > 0, F.col("_total"))).alias("var"),
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,7 +18,7 @@ from tabfold.plans.selection import meta_select_predict
 from tabfold.sources.delimited import scan_csv_positional
 from tabfold.sources.results import scan_results, sink_results
 from tabfold.sources.sidecar import dataset_catalog, ready_datasets, scan_metadata
-from tabfold.workspace import stage
+from tabfold.workspace import exists, stage
 
 Method = Callable[[DataFrame, DataFrame], DataFrame]
 N_SPLITS = 5
@@ -66,6 +67,43 @@ def _predict(method: str, train: DataFrame, test: DataFrame, settings: dict) ->
     raise ValueError(f"unknown method {method!r}")
 
 
+def _cell(method: str, folded: DataFrame, fold: int, settings: dict) -> DataFrame:
+    """One row ``fold, accuracy, model, hyperparameters``."""
+    train, test = train_rows(folded, fold).drop("fold"), test_rows(folded, fold).drop("fold")
+    scored = _predict(method, train, test, settings)
+    text = F.first("summary") if "summary" in scored.columns else F.lit("")
+    hit = F.avg(F.col("pred").eqNullSafe(F.col("label")).cast("double"))
+    row = scored.agg(hit.alias("accuracy"), text.alias("s"))
+    return row.select(
+        F.lit(fold).alias("fold"),
+        "accuracy",
+        F.when(F.col("s") != "", summary_model(F.col("s"))).otherwise("").alias("model"),
+        F.when(F.col("s") != "", summary_hp(F.col("s"))).otherwise("").alias("hyperparameters"),
+    )
+
+
+def benchmark_cells(
+    folded: DataFrame, dataset: str, wanted: dict[str, list[int]], settings: dict | None = None
+) -> Iterator[DataFrame]:
+    """Result rows of the ``wanted`` folds by method over a folded table, one frame after the other.
+
+    Neighbour votes of all folds come from one search; every other frame is one cell, fitted when it is asked for.
+    """
+    settings = settings or {}
+    unknown = set(wanted) - set(_FITTED) - set(_PROMPTED) - {"KNN", "MetaSelectorLLM"}
+    if unknown:
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    for method, folds in wanted.items():
+        chosen = settings.get(method, {})
+        named = [F.lit(dataset).alias("dataset"), "fold", F.lit(method).alias("method"), "accuracy", "model", "hyperparameters"]
+        if method == "KNN" and folds:
+            part = knn_fold_accuracy(folded, **chosen).where(F.col("fold").isin(folds))
+            yield part.select("fold", "accuracy", F.lit("").alias("model"), F.lit("").alias("hyperparameters")).select(named)
+        else:
+            for fold in folds:
+                yield _cell(method, folded, fold, chosen).select(named)
+
+
 def benchmark_table(
     data: DataFrame, dataset: str, methods: list[str], *, folds: int = N_SPLITS, settings: dict | None = None
 ) -> DataFrame:
@@ -73,37 +111,35 @@ def benchmark_table(
 
     ``settings`` gives keyword arguments by method name.  Every method of every fold is scored.
     """
-    settings = settings or {}
-    unknown = set(methods) - set(_FITTED) - set(_PROMPTED) - {"KNN", "MetaSelectorLLM"}
-    if unknown:
-        raise ValueError(f"unknown methods: {sorted(unknown)}")
     folded = stage(stratified_kfold(data, "label", "row_id", folds), "benchmark-folds")
-    results = None
-    for method in methods:
-        chosen = settings.get(method, {})
-        if method == "KNN":
-            part = knn_fold_accuracy(folded, **chosen)
-            parts = [part.select("fold", "accuracy", F.lit("").alias("model"), F.lit("").alias("hyperparameters"))]
-        else:
-            parts = []
-            for fold in range(folds):
-                train, test = train_rows(folded, fold).drop("fold"), test_rows(folded, fold).drop("fold")
-                scored = _predict(method, train, test, chosen)
-                text = F.first("summary") if "summary" in scored.columns else F.lit("")
-                hit = F.avg(F.col("pred").eqNullSafe(F.col("label")).cast("double"))
-                row = scored.agg(hit.alias("accuracy"), text.alias("s"))
-                parts.append(
-                    row.select(
-                        F.lit(fold).alias("fold"),
-                        "accuracy",
-                        F.when(F.col("s") != "", summary_model(F.col("s"))).otherwise("").alias("model"),
-                        F.when(F.col("s") != "", summary_hp(F.col("s"))).otherwise("").alias("hyperparameters"),
-                    )
-                )
-        for part in parts:
-            named = part.withColumn("dataset", F.lit(dataset)).withColumn("method", F.lit(method))
-            results = named if results is None else results.unionByName(named)
-    return results.select("dataset", "fold", "method", "accuracy", "model", "hyperparameters")
+    parts = benchmark_cells(folded, dataset, {m: list(range(folds)) for m in methods}, settings)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def remaining_cells(done: DataFrame, datasets: DataFrame, folds: int, methods: list[str]) -> DataFrame:
+    """The cells ``dataset, fold, method`` of the grid that have no result yet."""
+    return benchmark_grid(datasets, folds, methods).join(done, ["dataset", "fold", "method"], "left_anti")
+
+
+def resume_benchmark(
+    data: DataFrame, dataset: str, methods: list[str], out: str, *, folds: int = N_SPLITS, settings: dict | None = None
+) -> DataFrame:
+    """Appends the cells of one table that ``out`` lacks, each as it is done; returns all results in ``out``.
+
+    A run that breaks off keeps the cells it has finished, and the next goes on from there: folds follow from the rows and are
+    the same again.
+    """
+    spark = data.sparkSession
+    if not exists(spark, out):
+        sink_results(spark.createDataFrame([], "dataset string"), out, fresh=True)
+    named = spark.createDataFrame([(dataset,)], "dataset string")
+    todo = remaining_cells(scan_results(spark, out), named, folds, methods).orderBy("fold").collect()  # folds x methods
+    if todo:
+        folded = stage(stratified_kfold(data, "label", "row_id", folds), "benchmark-folds")
+        wanted = {m: [c["fold"] for c in todo if c["method"] == m] for m in methods}
+        for part in benchmark_cells(folded, dataset, wanted, settings):
+            sink_results(part.coalesce(1), out)
+    return scan_results(spark, out)
 
 
 def run_benchmark(
@@ -116,19 +152,21 @@ def run_benchmark(
     folds: int = N_SPLITS,
     sample: float = 1.0,
     settings: dict | None = None,
+    resume: bool = False,
 ) -> DataFrame:
-    """Benchmark the dataset folders that are complete; results go to ``out``, afresh."""
+    """Benchmark the dataset folders that are complete; results go to ``out``, afresh unless ``resume`` is set.
+
+    Each cell is written as it is done; ``resume`` does only those that ``out`` lacks.
+    """
     wanted = spark.createDataFrame([(d,) for d in datasets], "dataset string")
     ready = {r["dataset"] for r in ready_datasets(dataset_catalog(spark, folder), wanted).collect()}
-    first = True
+    if not resume or not exists(spark, out):
+        sink_results(spark.createDataFrame([], "dataset string"), out, fresh=True)
     for name in [d for d in datasets if d in ready]:
         base = f"{folder.rstrip('/')}/{name}/{name}"
         target = scan_metadata(spark, f"{base}_metadata.json").first()["target_column_index"]
         table = scan_csv_positional(spark, f"{base}.csv", row_id="row_id")
         table = head_fraction(table, sample, "row_id")
         data = stage(split_target(table, target, carry=["row_id"]), "dataset")
-        sink_results(benchmark_table(data, name, methods, folds=folds, settings=settings), out, fresh=first)
-        first = False
-    if first:
-        sink_results(spark.createDataFrame([], "dataset string"), out, fresh=True)
+        resume_benchmark(data, name, methods, out, folds=folds, settings=settings)
     return scan_results(spark, out)

@@ -1,7 +1,7 @@
 """Scoring rows through a completion function given by the user.
 
-``complete(prompts)`` takes a list of texts and returns as many replies.  It runs inside the tasks, batch
-by batch; the number of partitions sets how many calls are open at a time.
+``complete(prompts)`` takes a list of texts and returns as many replies.  It runs inside the tasks; tasks and open calls of a
+task set how many calls are open at a time.
 """
 
 from __future__ import annotations
@@ -12,57 +12,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabfold.functions import prompts
-from tabfold.functions.text import features_json, features_text, parse_answer
+from tabfold.functions.text import features_json, features_text, parse_answer, variant_json
 from tabfold.operators.neighbors import k_nearest, neighbor_lists
 from tabfold.operators.profiling import label_space
 from tabfold.operators.sampling import class_prototypes, context_sample
 from tabfold.operators.vectors import vector_topk
+from tabfold.plans.ledger import BATCH_ROWS, CONCURRENCY, Complete, ask_once
 from tabfold.sources.vectors import scan_vector_table, sink_vector_table
-from tabfold.workspace import new_folder, stage
+from tabfold.workspace import new_folder
 
-Complete = Callable[[list[str]], list[str]]
 Embed = Callable[[list[str]], list]
 
 
-def _ask(complete: Complete, asked: list[str]) -> list[tuple[str | None, str | None]]:
-    """Reply or error of each prompt; a failing call is halved down to the prompts that fail alone."""
-    try:
-        replies = list(complete(asked))
-        if len(replies) != len(asked):
-            raise ValueError("one reply per prompt expected")
-        return [(reply, None) for reply in replies]
-    except Exception as e:  # the user's function may fail in any way
-        if len(asked) == 1:
-            return [(None, f"{type(e).__name__}: {e}")]
-        half = len(asked) // 2
-        return _ask(complete, asked[:half]) + _ask(complete, asked[half:])
-
-
 def score_prompts(
-    df: DataFrame, complete: Complete, *, prompt: str = "prompt", batch_rows: int = 64, parallelism: int | None = None
+    df: DataFrame,
+    complete: Complete,
+    *,
+    prompt: str = "prompt",
+    batch_rows: int = BATCH_ROWS,
+    concurrency: int = CONCURRENCY,
+    parallelism: int | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Add ``reply`` and ``error``, one of them null; every prompt that fails keeps its own error.
 
-    A call holds at most ``batch_rows`` prompts.  ``parallelism`` deals the rows into so many partitions and
-    so sets how many calls are open at a time; else the frame's partitions do.  Replies are paid for, so they
-    are staged: later actions read them and do not ask again.
+    A call holds at most ``batch_rows`` prompts and a task has ``concurrency`` calls open.  Replies are paid for: each
+    distinct prompt is asked for once, also over lost tasks, and with a ``ledger`` over jobs; see ``ledger.ask_once``.
     """
-    schema = T.StructType(
-        df.schema.fields + [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]
+    return ask_once(
+        df, complete, prompt=prompt, batch_rows=batch_rows, concurrency=concurrency, parallelism=parallelism, ledger=ledger
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            asked = batch[prompt].tolist()
-            found = [x for i in range(0, len(asked), batch_rows) for x in _ask(complete, asked[i : i + batch_rows])]
-            yield batch.assign(
-                reply=pd.Series([r for r, _ in found], index=batch.index, dtype=object),
-                error=pd.Series([e for _, e in found], index=batch.index, dtype=object),
-            )
-
-    dealt = df if parallelism is None else df.repartition(parallelism)
-    return stage(dealt.mapInPandas(run, schema), "replies")
-
 
 def embed_text(df: DataFrame, text: str, embed: Embed, *, name: str = "embedding") -> DataFrame:
     """Add the embedding of a text column; ``embed`` gets whole texts in Arrow batches."""
@@ -75,8 +55,17 @@ def embed_text(df: DataFrame, text: str, embed: Embed, *, name: str = "embedding
     return df.withColumn(name, run(F.col(text)))
 
 
+def _shown(df: DataFrame, label: Column | None = None, row: Column | None = None, features: Column | None = None) -> Column:
+    """A row as prompts show it: by its own names and types where it has a VARIANT column ``row``, else by position."""
+    if "row" in df.columns:
+        return variant_json(F.col("row") if row is None else row, label=label)
+    return features_json(F.col("features") if features is None else features, label=label)
+
+
 def _schema_json(df: DataFrame) -> Column:
-    """Names of the features, which are their positions."""
+    """Names of the features: those of the typed row, else their positions."""
+    if "row" in df.columns:
+        return F.to_json(F.json_object_keys(F.to_json("row")))
     return F.to_json(F.transform(F.sequence(F.lit(0), F.size("features") - 1), lambda i: i.cast("string")))
 
 
@@ -86,21 +75,21 @@ def zero_shot_prompts(train: DataFrame, test: DataFrame, *, context_rows: int =
     rows = test.withColumn("labels", label_space(train, "label").scalar())
     if context_rows:
         sample = context_sample(train, "row_id", context_rows).agg(
-            F.array_sort(F.collect_list(F.struct("row_id", features_json("features").alias("j")))).alias("s")
+            F.array_sort(F.collect_list(F.struct("row_id", _shown(train).alias("j")))).alias("s")
         )
         shown = sample.select(
             F.concat(F.lit("["), F.array_join(F.transform("s", lambda e: e["j"]), ","), F.lit("]")).alias("c")
         )
         rows = rows.withColumn("context", shown.scalar())
         context = F.col("context")
-    prompt = prompts.prompt_zero_shot(F.to_json("labels"), _schema_json(rows), features_json("features"), context)
+    prompt = prompts.prompt_zero_shot(F.to_json("labels"), _schema_json(rows), _shown(test), context)
     return rows.select("row_id", "labels", prompt.alias("prompt"))
 
 
 def few_shot_examples(train: DataFrame, *, per_class: int = 2, max_examples: int = 20) -> DataFrame:
     """One row with the prototypes as a JSON list, at most ``max_examples`` long."""
     picked = class_prototypes(train, "label", "row_id", per_class=per_class, max_examples=max_examples)
-    entry = F.struct("position", features_json("features", label=F.col("label")).alias("j"))
+    entry = F.struct("position", _shown(train, F.col("label")).alias("j"))
     lists = picked.agg(F.array_sort(F.collect_list(entry)).alias("s"))
     return lists.select(
         F.concat(F.lit("["), F.array_join(F.transform("s", lambda e: e["j"]), ","), F.lit("]")).alias("examples")
@@ -112,25 +101,29 @@ def few_shot_prompts(train: DataFrame, test: DataFrame, *, per_class: int = 2, m
     rows = test.withColumn("labels", label_space(train, "label").scalar()).withColumn(
         "examples", examples.scalar()
     )
-    prompt = prompts.prompt_few_shot(F.to_json("labels"), F.col("examples"), features_json("features"))
+    prompt = prompts.prompt_few_shot(F.to_json("labels"), F.col("examples"), _shown(test))
     return rows.select("row_id", "labels", prompt.alias("prompt"))
 
 
 def hybrid_prompts(train: DataFrame, test: DataFrame, *, k: int = 3, group: str | None = None) -> DataFrame:
     """Prompts that show each test row its k nearest training rows."""
+    typed = "row" in train.columns
+    # a typed row travels as its JSON text beside the label; an untyped one is its features
+    carried = F.struct("label", F.to_json("row").alias("text")) if typed else F.col("label")
+    stored = train.withColumn("_carried", carried)
     found = k_nearest(
-        test, train, k, test_id="row_id", train_id="row_id", payload="label", group=group, with_features=True
-    )
-    lists = neighbor_lists(found, ["train_features", "payload"])
-    shown = F.concat(
-        F.lit("["),
-        F.array_join(
-            F.transform("neighbors", lambda n: features_json(n["train_features"], label=n["payload"])), ","
-        ),
-        F.lit("]"),
+        test, stored, k, test_id="row_id", train_id="row_id", payload="_carried", group=group, with_features=not typed
     )
-    asked = test.select("row_id", "features").join(lists.withColumnRenamed("test_id", "row_id"), "row_id")
-    return asked.select("row_id", prompts.prompt_retrieval(shown, features_json("features")).alias("prompt"))
+    columns = ["payload"] if typed else ["train_features", "payload"]
+    lists = neighbor_lists(found, columns)
+    if typed:
+        one = lambda n: variant_json(F.parse_json(n["payload"]["text"]), label=n["payload"]["label"])
+    else:
+        one = lambda n: features_json(n["train_features"], label=n["payload"])
+    shown = F.concat(F.lit("["), F.array_join(F.transform("neighbors", one), ","), F.lit("]"))
+    own = ["row"] if typed else []
+    asked = test.select("row_id", "features", *own).join(lists.withColumnRenamed("test_id", "row_id"), "row_id")
+    return asked.select("row_id", prompts.prompt_retrieval(shown, _shown(asked)).alias("prompt"))
 
 
 def build_vector_table(train: DataFrame, embed: Embed, path: str, *, document: Column | None = None) -> DataFrame:
@@ -154,30 +147,41 @@ def rag_prompts(stored: DataFrame, test: DataFrame, embed: Embed, *, k: int = 3)
     return asked.select("row_id", prompts.prompt_retrieval(shown, F.col("query")).alias("prompt"))
 
 
-def _answers(prompted: DataFrame, complete: Complete, checked: bool) -> DataFrame:
+def _answers(prompted: DataFrame, complete: Complete, checked: bool, calls: dict | None) -> DataFrame:
+    """Answers of a completion; ``calls`` are settings of ``score_prompts``."""
     labels = F.col("labels") if checked else None
-    replied = score_prompts(prompted, complete)
+    replied = score_prompts(prompted, complete, **(calls or {}))
     return parse_answer(replied, "reply", labels=labels).select("row_id", "pred")
 
 
-def classify_zero_shot(train: DataFrame, test: DataFrame, complete: Complete, *, context_rows: int = 0) -> DataFrame:
+def classify_zero_shot(
+    train: DataFrame, test: DataFrame, complete: Complete, *, context_rows: int = 0, calls: dict | None = None
+) -> DataFrame:
     """``row_id, pred``; answers outside the label space count as -1."""
-    return _answers(zero_shot_prompts(train, test, context_rows=context_rows), complete, True)
+    return _answers(zero_shot_prompts(train, test, context_rows=context_rows), complete, True, calls)
 
 
 def classify_few_shot(
-    train: DataFrame, test: DataFrame, complete: Complete, *, per_class: int = 2, max_examples: int = 20
+    train: DataFrame,
+    test: DataFrame,
+    complete: Complete,
+    *,
+    per_class: int = 2,
+    max_examples: int = 20,
+    calls: dict | None = None,
 ) -> DataFrame:
     prompted = few_shot_prompts(train, test, per_class=per_class, max_examples=max_examples)
-    return _answers(prompted, complete, True)
+    return _answers(prompted, complete, True, calls)
 
 
 def classify_hybrid(
-    train: DataFrame, test: DataFrame, complete: Complete, *, k: int = 3, group: str | None = None
+    train: DataFrame, test: DataFrame, complete: Complete, *, k: int = 3, group: str | None = None, calls: dict | None = None
 ) -> DataFrame:
-    return _answers(hybrid_prompts(train, test, k=k, group=group), complete, False)
+    return _answers(hybrid_prompts(train, test, k=k, group=group), complete, False, calls)
 
 
-def classify_rag(train: DataFrame, test: DataFrame, complete: Complete, embed: Embed, *, k: int = 3) -> DataFrame:
+def classify_rag(
+    train: DataFrame, test: DataFrame, complete: Complete, embed: Embed, *, k: int = 3, calls: dict | None = None
+) -> DataFrame:
     stored = build_vector_table(train, embed, new_folder(train.sparkSession, "vectors"))
-    return _answers(rag_prompts(stored, test, embed, k=k), complete, False)
+    return _answers(rag_prompts(stored, test, embed, k=k), complete, False, calls)

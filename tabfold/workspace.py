@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +36,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_store(path: str) -> tuple[fs.FileSystem, str]:
+    """For tasks that read or write files themselves: the file system of a path or address, and the path inside it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete what this application has staged; frames that still read it become useless."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))

@@ -112,16 +112,53 @@ def test_candidate_scores(spark, three):
 
 
 def test_selector(two):
-    cheap = {
-        "rf": '{"max_depth":4,"min_samples_leaf":1,"min_samples_split":2,"n_estimators":3}',
-        "hgb": '{"l2_regularization":0.0,"learning_rate":0.1,"max_depth":2,"max_iter":2}',
-    }
-    out = meta_select_predict(two[0], two[1], stub_proposal, folds=2, cheap=cheap)
+    out = meta_select_predict(two[0], two[1], stub_proposal, folds=2, baselines=False)
     rows = out.collect()
-    assert len(rows) == two[1].count() and rows[0]["summary"].startswith("model=")
+    assert len(rows) == two[1].count() and rows[0]["summary"].startswith("model=lr")
     assert fold_accuracy(out, []).first()["accuracy"] > 0.85
 
 
+def test_equal_settings_are_fitted_once(spark, two, monkeypatch):
+    from tabfold.plans import selection
+
+    fits = []
+    monkeypatch.setattr(selection, "fit_candidate", lambda train, model, hp: (fits.append(hp), M.fit_candidate(train, model, hp))[1])
+    rows = [(0, "rf", '{"max_depth":40,"min_samples_split":2,"n_estimators":3}', ""), (1, "rf", '{"max_depth":30,"min_samples_split":9,"n_estimators":3}', "")]
+    rows += [(2, "lr", '{"C":"x"}', ""), (3, "svm", "{}", "")]
+    scores = evaluate_candidates(two[0], spark.createDataFrame(rows, "ord int, model string, hp string, why string"), folds=2)
+    got = {r["ord"]: r for r in scores.collect()}
+    assert len([f for f in fits if "n_estimators" in f]) == 2
+    assert got[0]["score"] == got[1]["score"] > 0.85 and '"max_depth": 30' in got[0]["used"]
+    assert got[2]["score"] is None and got[2]["error"] and got[3]["error"] == "ValueError: unknown model 'svm'"
+
+
+def test_fits_overlap(spark, two):
+    from tabfold.models.overlap import overlapped
+
+    def job(i):
+        if i == 2:
+            raise ValueError("no")
+        return M.fit_logistic(two[0], max_iter=3).labels
+
+    results = overlapped(spark, [(f"job {i}", lambda i=i: job(i)) for i in range(5)], 3)
+    assert [r for r, _ in results] == [[10, 20]] * 2 + [None] + [[10, 20]] * 2
+    assert [e for _, e in results] == [None, None, "ValueError: no", None, None]
+
+
+def test_the_short_request_follows_a_useless_reply(two):
+    from tabfold.plans.selection import propose
+
+    asked = []
+
+    def complete(texts):  # runs in a task: tells the two requests apart by their text
+        return ["sorry" if "__target__" in t else stub_proposal([t])[0] for t in texts]
+
+    found = propose(two[0], complete).collect()
+    assert [(r["model"], r["hp"]) for r in found] == [("lr", '{"C":0.5}')] and not asked
+    useless = propose(two[0], lambda texts: ["no" for _ in texts], attempts=2).collect()
+    assert len(useless) > 2
+
+
 def test_benchmark_folder(spark, tmp_path, three):
     whole = three[0].unionByName(three[1])
     table = whole.selectExpr("row_id", "label", "features[0] a", "features[1] b", "features[2] c")
