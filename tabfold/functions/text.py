@@ -72,13 +72,17 @@ def variant_row(columns: list[str]) -> Column:
     return F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in columns]))
 
 
+def with_label(text: Column, label: Column) -> Column:
+    """A JSON object with the label as its last entry."""
+    entry = F.concat(F.lit('"label":'), label.cast("string"), F.lit("}"))
+    inside = F.substring(text, F.lit(1), F.length(text) - 1)
+    return F.when(text == "{}", F.concat(F.lit("{"), entry)).otherwise(F.concat(inside, F.lit(","), entry))
+
+
 def variant_json(row: Column, *, label: Column | None = None) -> Column:
     """JSON object of a VARIANT row, with the label as its last entry."""
     text = F.to_json(row)
-    if label is None:
-        return text
-    entry = F.concat(F.lit('"label":'), label.cast("string"), F.lit("}"))
-    return once(text, lambda t: F.when(t == "{}", F.concat(F.lit("{"), entry)).otherwise(F.concat(t.substr(F.lit(1), F.length(t) - 1), F.lit(","), entry)))
+    return text if label is None else with_label(text, label)
 
 
 def features_json(features: str | Column, *, label: Column | None = None) -> Column:

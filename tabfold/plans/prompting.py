@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabfold.functions import prompts
-from tabfold.functions.text import features_json, features_text, parse_answer, variant_json
+from tabfold.functions.text import features_json, features_text, parse_answer, variant_json, with_label
 from tabfold.operators.neighbors import k_nearest, neighbor_lists
 from tabfold.operators.profiling import label_space
 from tabfold.operators.sampling import class_prototypes, context_sample
@@ -117,7 +117,7 @@ def hybrid_prompts(train: DataFrame, test: DataFrame, *, k: int = 3, group: str
     columns = ["payload"] if typed else ["train_features", "payload"]
     lists = neighbor_lists(found, columns)
     if typed:
-        one = lambda n: variant_json(F.parse_json(n["payload"]["text"]), label=n["payload"]["label"])
+        one = lambda n: with_label(n["payload"]["text"], n["payload"]["label"])
     else:
         one = lambda n: features_json(n["train_features"], label=n["payload"])
     shown = F.concat(F.lit("["), F.array_join(F.transform("neighbors", one), ","), F.lit("]"))
