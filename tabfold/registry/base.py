@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabfold.operators.sampling import stratified_kfold
+from tabfold.functions.text import variant_row
+from tabfold.models.overlap import overlapped
+from tabfold.operators.sampling import stratified_kfold, test_rows, train_rows
 from tabfold.workspace import stage
 
 
@@ -38,6 +43,32 @@ ORDERS_DATA_SQL = f"""data AS (
          o_custkey::DOUBLE AS f0, o_totalprice AS f1
   FROM orders)"""
 
+
+def typed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows, with a whole number, a text and a real under their own names for prompts."""
+    shown = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"), variant_row(["o_custkey", "o_orderpriority", "o_totalprice"]).alias("row")
+    )
+    return orders_data(spark, folder).join(shown, "row_id")
+
+
+TYPED_ORDERS_SQL = f"""data AS (
+  SELECT o_orderkey AS row_id, {STATUS_CODE_SQL} AS label, o_custkey, o_orderpriority, o_totalprice FROM orders)"""
+
+def ruled_data(spark: SparkSession, folder: str) -> DataFrame:
+    """``row_id, label, features``: orders whose label is a rule over two columns, so the right answer is known."""
+    first, second = F.col("o_custkey") % 10, F.col("o_orderkey") % 7
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        (first + second >= 8).cast("int").alias("label"),
+        F.array(first.cast("double"), second.cast("double")).alias("features"),
+    )
+
+
+#: Every row with its label as the prediction.
+RULED_SQL = """SELECT o_orderkey AS row_id, label, label::BIGINT AS pred FROM (
+  SELECT *, (o_custkey % 10 + o_orderkey % 7 >= 8)::INTEGER AS label FROM orders)"""
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -51,9 +82,16 @@ def customer_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def typed_customers(spark: SparkSession, folder: str) -> DataFrame:
+    shown = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("row_id"), variant_row(["c_acctbal", "c_name", "c_nationkey"]).alias("row")
+    )
+    return customer_data(spark, folder).join(shown, "row_id")
+
+
 CUSTOMER_DATA_SQL = f"""data AS (
   SELECT c_custkey AS row_id, list_position({SEGMENTS}, c_mktsegment)::INTEGER AS label,
-         c_nationkey::DOUBLE AS f0, c_acctbal AS f1
+         c_nationkey::DOUBLE AS f0, c_acctbal AS f1, c_acctbal, c_name, c_nationkey
   FROM customer)"""
 
 
@@ -70,6 +108,20 @@ def folded(data: DataFrame, folds: int = 5) -> DataFrame:
     return stage(stratified_kfold(data, "label", "row_id", folds), "folds")
 
 
+def over_folds(data: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame], folds: int = 5, open_fits: int = 1) -> DataFrame:
+    """Results of ``predict(train, test)`` for every fold as test rows; with ``open_fits`` folds are fitted side by side."""
+    dealt = folded(data, folds)
+    split = lambda i: (train_rows(dealt, i).drop("fold"), test_rows(dealt, i).drop("fold"))
+    jobs = [(f"fold {i}", partial(predict, *split(i))) for i in range(folds)]
+    if open_fits == 1:
+        return reduce(DataFrame.unionByName, [job() for _, job in jobs])
+    found = overlapped(data.sparkSession, jobs, open_fits)
+    for _, error in found:
+        if error is not None:
+            raise RuntimeError(error)
+    return reduce(DataFrame.unionByName, [frame for frame, _ in found])
+
+
 def folded_sql(folds: int = 5) -> str:
     """Follows a ``data`` table."""
     return f"""folded AS (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabfold.functions.text import is_metadata_echo
 from tabfold.plans import candidates as C
-from tabfold.plans.selection import evaluate_candidates as evaluate, neighbor_cv_scores
+from tabfold.plans.selection import neighbor_cv_scores
 from tabfold.registry.base import (
     VECTORS_SQL,
     customer_data,
@@ -121,21 +121,6 @@ def evaluate_knn_candidates(spark, folder):
     return scores.select(F.col("ord").cast("bigint").alias("ord"), r6("score").alias("score"))
 
 
-def evaluate_candidates(spark, folder):
-    data = customer_data(spark, folder)
-    facts = data.agg(F.count(F.lit(1)).alias("n_rows"))
-    proposed = facts.select(
-        F.posexplode(
-            F.array(
-                F.struct(F.lit("lr").alias("model"), F.lit("{}").alias("hp"), F.lit("").alias("why")),
-                F.struct(F.lit("knn").alias("model"), F.lit("{}").alias("hp"), F.lit("").alias("why")),
-            )
-        ).alias("ord", "c"),
-        "n_rows",
-    ).select("ord", "c.*", "n_rows")
-    return evaluate(data, C.sanitize_candidates(proposed, "n_rows").drop("n_rows"), folds=3)
-
-
 QUERIES = {
     "parse_candidates": parse_candidates,
     "sanitize_candidates": sanitize_candidates,
@@ -143,7 +128,6 @@ QUERIES = {
     "candidate_pool": candidate_pool,
     "metadata_echo_filter": metadata_echo_filter,
     "evaluate_knn_candidates": evaluate_knn_candidates,
-    "evaluate_candidates": evaluate_candidates,
 }
 
 

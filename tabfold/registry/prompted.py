@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tabfold.functions import prompts
 from tabfold.functions.text import METADATA_KEYS
-from tabfold.operators.sampling import test_rows, train_rows
 from tabfold.plans import candidates as C
 from tabfold.plans import prompting as P
 from tabfold.plans.selection import proposal_prompt
@@ -17,12 +16,16 @@ from tabfold.registry.base import (
     CUSTOMER_DATA_SQL,
     ORDERS_DATA_SQL,
     PLANE,
+    TYPED_ORDERS_SQL,
     customer_data,
     folded,
     folded_sql,
     neighbors_sql,
     orders_data,
+    over_folds,
     table,
+    typed_customers,
+    typed_orders,
 )
 
 DIMENSIONS = 32
@@ -53,23 +56,17 @@ def hash_embedder(texts: list[str]) -> list[list[float]]:
     return out
 
 
-def _split(data):
-    dealt = folded(data)
-    return train_rows(dealt, 0).drop("fold"), test_rows(dealt, 0).drop("fold")
-
-
 def prompt_zero_shot(spark, folder):
-    train, test = _split(orders_data(spark, folder))
-    return P.zero_shot_prompts(train, test, context_rows=5).select("row_id", "prompt")
+    ask = lambda train, test: P.zero_shot_prompts(train, test, context_rows=5)
+    return over_folds(orders_data(spark, folder), ask).select("row_id", "prompt")
 
 
 def prompt_few_shot(spark, folder):
-    train, test = _split(orders_data(spark, folder))
-    return P.few_shot_prompts(train, test).select("row_id", "prompt")
+    return over_folds(typed_orders(spark, folder), P.few_shot_prompts).select("row_id", "prompt")
 
 
 def prompt_retrieval(spark, folder):
-    data = folded(customer_data(spark, folder))
+    data = folded(typed_customers(spark, folder))
     return P.hybrid_prompts(data, data, group="fold")
 
 
@@ -77,30 +74,43 @@ def prompt_candidates(spark, folder):
     return proposal_prompt(orders_data(spark, folder), metadata='{"target_column_index": 2}')
 
 
+def prompt_candidates_minimal(spark, folder):
+    """The short request, once for each market segment."""
+    groups = table(spark, folder, "customer").groupBy("c_mktsegment").count()
+    return groups.select("c_mktsegment", C.prompt_candidates_minimal().alias("prompt"))
+
+
 def score_prompts(spark, folder):
-    train, test = _split(orders_data(spark, folder))
-    prompted = P.zero_shot_prompts(train, test).select("row_id", "prompt")
-    return P.score_prompts(prompted, stub_complete).select("row_id", "reply", "error")
+    """Every third prompt is refused, the others answered by their length."""
+
+    def complete(texts):
+        if any(len(t) % 3 == 0 for t in texts):
+            raise ValueError("refused")
+        return stub_complete(texts)
+
+    ask = lambda train, test: P.zero_shot_prompts(train, test, context_rows=5)
+    prompted = over_folds(orders_data(spark, folder), ask).select("row_id", "prompt")
+    return P.score_prompts(prompted, complete).select("row_id", "reply", "error")
 
 
 def classify_zero_shot(spark, folder):
-    train, test = _split(orders_data(spark, folder))
-    return _pred(P.classify_zero_shot(train, test, stub_complete, context_rows=5))
+    answer = lambda train, test: P.classify_zero_shot(train, test, stub_complete, context_rows=5)
+    return _pred(over_folds(orders_data(spark, folder), answer))
 
 
 def classify_few_shot(spark, folder):
-    train, test = _split(orders_data(spark, folder))
-    return _pred(P.classify_few_shot(train, test, stub_complete))
+    answer = lambda train, test: P.classify_few_shot(train, test, stub_complete)
+    return _pred(over_folds(typed_orders(spark, folder), answer))
 
 
 def classify_hybrid(spark, folder):
-    data = folded(customer_data(spark, folder))
+    data = folded(typed_customers(spark, folder))
     return _pred(P.classify_hybrid(data, data, stub_complete, group="fold"))
 
 
 def classify_rag(spark, folder):
-    train, test = _split(customer_data(spark, folder))
-    return _pred(P.classify_rag(train, test, stub_complete, hash_embedder))
+    answer = lambda train, test: P.classify_rag(train, test, stub_complete, hash_embedder)
+    return _pred(over_folds(customer_data(spark, folder), answer))
 
 
 def embed_text(spark, folder):
@@ -117,6 +127,7 @@ QUERIES = {
     "prompt_few_shot": prompt_few_shot,
     "prompt_retrieval": prompt_retrieval,
     "prompt_candidates": prompt_candidates,
+    "prompt_candidates_minimal": prompt_candidates_minimal,
     "score_prompts": score_prompts,
     "classify_zero_shot": classify_zero_shot,
     "classify_few_shot": classify_few_shot,
@@ -142,25 +153,38 @@ def _object(alias: str = "", label: bool = False) -> str:
     return f"""'{{"0":' || {dot}f0 || ',"1":' || {dot}f1{tail} || '}}'"""
 
 
-_TRAIN_SQL = f"""{ORDERS_DATA_SQL}, {folded_sql()},
-  train AS (SELECT *, md5('42:' || row_id::VARCHAR) AS h FROM folded WHERE fold <> 0),
-  test AS (SELECT * FROM folded WHERE fold = 0)"""
-_ZERO_SQL = f"""{_TRAIN_SQL},
-  shown AS (SELECT '[' || string_agg({_object()}, ',' ORDER BY row_id) || ']' AS c
-            FROM (SELECT * FROM train ORDER BY h LIMIT 5)),
+# every fold in turn is the test part ``s``, the others are its training rows
+def _typed_object(columns: list[str], alias: str = "", label: bool = False) -> str:
+    """The object of a typed row; names that begin with the mark ``'`` are texts."""
+    dot = f"{alias}." if alias else ""
+    parts = []
+    for c in columns:
+        value = f"""'"' || {dot}{c[1:]} || '"'""" if c[0] == "'" else f"{dot}{c}"
+        parts.append(f"""'"{c.lstrip("'")}":' || {value}""")
+    parts += [f"""'"label":' || {dot}label"""] if label else []
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+_ORDER_ROW = ["o_custkey", "'o_orderpriority", "o_totalprice"]
+_CUSTOMER_ROW = ["c_acctbal", "'c_name", "c_nationkey"]
+_TRAIN_SQL = f"""{{data}}, {folded_sql()},
+  train AS (SELECT s, f.*, md5('42:' || row_id::VARCHAR) AS h FROM folded f JOIN (SELECT range AS s FROM range(5)) ON fold <> s)"""
+_ZERO_SQL = f"""{_TRAIN_SQL.format(data=ORDERS_DATA_SQL)},
+  shown AS (SELECT s, '[' || string_agg({_object()}, ',' ORDER BY row_id) || ']' AS c
+            FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) AS n FROM train) WHERE n <= 5 GROUP BY s),
   prompts AS (SELECT row_id, {_filled(
       prompts.ZERO_SHOT, labels="'[0,1,2]'", schema=_quoted('["0","1"]'),
-      context=_quoted(prompts.CONTEXT) + " || c", row=_object())} AS prompt FROM test, shown)"""
-_FEW_SQL = f"""{_TRAIN_SQL},
-  picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS n FROM train)
-             WHERE n <= 2 ORDER BY h LIMIT 20),
-  shown AS (SELECT '[' || string_agg({_object(label=True)}, ',' ORDER BY h) || ']' AS c FROM picked),
+      context=_quoted(prompts.CONTEXT) + " || c", row=_object())} AS prompt FROM folded JOIN shown ON s = fold)"""
+_FEW_SQL = f"""{_TRAIN_SQL.format(data=TYPED_ORDERS_SQL)},
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY s, label ORDER BY h) AS n FROM train),
+  picked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) AS place FROM firsts WHERE n <= 2),
+  shown AS (SELECT s, '[' || string_agg({_typed_object(_ORDER_ROW, label=True)}, ',' ORDER BY h) || ']' AS c FROM picked WHERE place <= 20 GROUP BY s),
   prompts AS (SELECT row_id, {_filled(
-      prompts.FEW_SHOT, labels="'[0,1,2]'", examples="c", row=_object())} AS prompt FROM test, shown)"""
+      prompts.FEW_SHOT, labels="'[0,1,2]'", examples="c", row=_typed_object(_ORDER_ROW))} AS prompt FROM folded JOIN shown ON s = fold)"""
 _HYBRID_SQL = f"""{CUSTOMER_DATA_SQL}, {folded_sql()}, {neighbors_sql(3, PLANE)},
-  shown AS (SELECT test_id, '[' || string_agg({_object("t", label=True)}, ',' ORDER BY rank) || ']' AS c
+  shown AS (SELECT test_id, '[' || string_agg({_typed_object(_CUSTOMER_ROW, "t", label=True)}, ',' ORDER BY rank) || ']' AS c
             FROM near JOIN data t ON train_id = t.row_id GROUP BY test_id),
-  prompts AS (SELECT row_id, {_filled(prompts.RETRIEVAL, examples="c", row=_object())} AS prompt
+  prompts AS (SELECT row_id, {_filled(prompts.RETRIEVAL, examples="c", row=_typed_object(_CUSTOMER_ROW))} AS prompt
               FROM data JOIN shown ON test_id = row_id)"""
 _CARD_SQL = """'{"n_rows":' || (SELECT count(*) FROM data) || ',"n_cols":2,"labels":[' ||
   (SELECT string_agg(label::VARCHAR, ',' ORDER BY label) FROM priors) || '],"class_priors":{' ||
@@ -185,6 +209,13 @@ ORACLES = {
         SELECT {_filled(prompts.PROPOSAL, forbidden=_quoted(C.json.dumps(METADATA_KEYS)), models=_quoted(C.json.dumps(C.MODELS)),
                         catalog=_quoted(C._catalog()), card=_CARD_SQL, rows="c", metadata=_quoted('{"target_column_index": 2}'))}
           AS prompt FROM head""",
+    "prompt_candidates_minimal": f"""SELECT DISTINCT c_mktsegment, {_filled(
+        prompts.PROPOSAL_MINIMAL, forbidden=_quoted(C.json.dumps(METADATA_KEYS)), models=_quoted(C.json.dumps(C.MODELS)),
+        catalog=_quoted(C._catalog()))} AS prompt FROM customer""",
+    "score_prompts": f"""WITH {_ZERO_SQL} SELECT row_id,
+        CASE WHEN length(prompt) % 3 > 0
+             THEN '{{"classification": ' || length(prompt) % 4 || ', "reasoning": "stub"}}' END AS reply,
+        CASE WHEN length(prompt) % 3 = 0 THEN 'ValueError: refused' END AS error FROM prompts""",
     "classify_zero_shot": _answer(_ZERO_SQL, "0, 1, 2"),
     "classify_few_shot": _answer(_FEW_SQL, "0, 1, 2"),
     "classify_hybrid": _answer(_HYBRID_SQL, "0, 1, 2, 3"),
