@@ -34,6 +34,12 @@ UNITS = (
 _CLOSING = ".,;:!?\"')]}"
 
 
+def _bare(word: Column) -> Column:
+    """In lower case without closing punctuation; most words have none, and trimming is dear."""
+    low = F.lower(word)
+    return F.when(F.substring(word, -1, 1).isin(*_CLOSING), F.rtrim(low, F.lit(_CLOSING))).otherwise(low)
+
+
 def _raw(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
@@ -48,7 +54,7 @@ def template(raw: Column) -> Column:
 
     def word(t: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(raw, i - 1)).otherwise(F.lit("."))
-        bare = F.rtrim(F.lower(t), F.lit(_CLOSING))
+        bare = _bare(t)
         inside = ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
         capital = F.substring(t, 1, 1) != F.lower(F.substring(t, 1, 1))
         return (
@@ -72,7 +78,12 @@ def _starts(size: int) -> Column:
 
 
 def _hash(at: Column, size: int) -> Column:
-    return F.xxhash64(F.slice("words", at, size))
+    """Hash of a window of ``hashes``, which holds that of each template word."""
+    return F.xxhash64(F.slice("hashes", at, size))
+
+
+def _hashed(templated: DataFrame) -> DataFrame:
+    return templated.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
 
 def leaks(
@@ -93,7 +104,7 @@ def leaks(
     placeholders (fewer than all, if the window has fewer words) are not looked for.  Repeated items are
     items of their own, documents that repeat an id are judged together.
     """
-    items = _templated(benchmark, item_col, item_text_col).where(F.size("words") > 0)
+    items = _hashed(_templated(benchmark, item_col, item_text_col).where(F.size("words") > 0))
     cut = F.transform(
         _starts(size),
         lambda at: F.struct(
@@ -111,7 +122,7 @@ def leaks(
     looked_for = F.broadcast(hashes) if items.count() <= BROADCAST_WINDOWS else hashes
 
     # first only hashes travel; the words of a document come in where it has a hit
-    templated = _templated(docs, id_col, text_col)
+    templated = _hashed(_templated(docs, id_col, text_col))
     windows = templated.select("id", F.posexplode(F.transform(_starts(size), lambda at: _hash(at, size))).alias("at", "hash"))
     hits = windows.join(looked_for, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
     hits = stage(hits.withColumnRenamed("id", "hit"), "hits")
