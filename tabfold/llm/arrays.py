@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,18 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system.
+
+    Workers outlive their tasks, and what one operation has freed would stay theirs while the next one runs in others.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text or binary column end to end, and ``len + 1`` offsets. A null is empty."""
     if isinstance(column, pa.ChunkedArray):

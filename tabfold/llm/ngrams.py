@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabfold.llm.arrays import flat, short_batches
+from tabfold.llm.arrays import flat, give_back, short_batches
 from tabfold.workspace import stage
 
 ORDER = 4
@@ -154,6 +154,7 @@ def count(trusted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), pa.array(sign.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "sign", "n"]
                     )
+        give_back()
 
     found = trusted.select("offsets", "packed", "places").mapInArrow(run, "key long, sign int, n long")
     return found.groupBy("key", "sign").agg(F.sum("n").alias("n"))
@@ -231,6 +232,7 @@ def losses(packed: DataFrame, model: DataFrame, fields: list[str]) -> DataFrame:
                 keys = np.concatenate([keys, *shorter])
                 block = np.full(len(keys), batch.column("block")[i].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(keys)], ["block", "key"])
+        give_back()
 
     asked = packed.select("block", "offsets", "packed").mapInArrow(ask, "block long, key long")
     answers = asked.join(model.hint("merge"), "key").select("block", "key", "signs", "shares", "weight")
@@ -249,7 +251,10 @@ def losses(packed: DataFrame, model: DataFrame, fields: list[str]) -> DataFrame:
             loss[full] = -np.add.reduceat(each, (np.cumsum(lengths) - lengths)[full]) / lengths[full]
         rows = left.column("rows").combine_chunks().flatten()
         rows = rows if isinstance(rows, pa.StructArray) else rows.combine_chunks()
-        return pa.table([*[rows.field(f) for f in fields], pa.array(loss, mask=lengths == 0)], names=[*fields, "loss"])
+        table = pa.table([*[rows.field(f) for f in fields], pa.array(loss, mask=lengths == 0)], names=[*fields, "loss"])
+        del left, right, model_rows, each
+        give_back()
+        return table
 
     schema = ", ".join(f"{f} {kinds[f].dataType.simpleString()}" for f in fields) + ", loss double"
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, schema)
