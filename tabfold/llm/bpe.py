@@ -10,18 +10,19 @@ rank through a cache.  Null texts are empty and give no ids.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tabfold.llm.arrays import short_batches, slices, text_list
+from tabfold.llm.arrays import flat, mix, short_batches, slices
 
 LETTER, NUMBER, BLANK, SPACE, OTHER, SHORT, LONG, STOP = range(8)
 IN_WORD, IN_NUMBER, IN_OTHER, AFTER_BLANK, AFTER_SPACE, ONE_MORE, TWO_MORE, FRESH = range(8)
@@ -32,11 +33,18 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
 BLOCK = 64
-#: Bytes of text cut and looked up at once: small, so that the short strings stay in the processor's cache.
-SLICE = 1 << 17
-CACHED_SLICES = 300_000
+#: Bytes of text cut and looked up at once; a longer text is worked on alone.
+SLICE = 1 << 19
+#: Longest slices that are keys, in bytes, and places for the keys of each kind.
+KEY_BYTES = (16, 32)
+PLACES = 1 << 19
+#: Ids kept before the cache is emptied, and longer slices kept besides.
+POOL = 1 << 22
+CACHED_SLICES = 50_000
 SHORT_SLICE = 100
 NO_RANK = 1 << 40
+#: By the number of bytes a word holds: ones in the bytes beyond.
+_FILL = np.array([(1 << 64) - (1 << 8 * n) for n in range(8)] + [0], np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -146,19 +154,25 @@ def cuts(points: np.ndarray) -> np.ndarray:
     return begins | (white & last)
 
 
-def slice_offsets(texts: list[str]) -> list[list[int]]:
-    """For each text the code point offsets of its slices, its length last."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(lengths + 1)
-    points = np.full(int(ends[-1]) if len(ends) else 0, sys.maxunicode + 1, np.uint32)
-    inside = np.ones(len(points), bool)
-    inside[ends - 1] = False
-    points[inside] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    at = np.flatnonzero(cuts(points)) if len(points) else np.zeros(0, np.int64)
-    starts = ends - lengths - 1
-    stops = np.searchsorted(at, ends)
-    begin = np.concatenate([[0], stops[:-1]])
-    return [(at[begin[i] : stops[i]] - starts[i]).tolist() for i in range(len(texts))]
+def slice_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of every slice of UTF-8 texts laid end to end, and the slices of each text."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    at_byte = np.concatenate([[0], np.cumsum(width)])
+    ends = np.searchsorted(at_byte, offsets[1:]) + np.arange(len(offsets) - 1)
+    stopped = np.full(len(points) + len(ends), sys.maxunicode + 1, np.uint32)
+    inside = np.ones(len(stopped), bool)
+    inside[ends] = False
+    stopped[inside] = points
+    if not len(stopped):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # every stop sign is a cut, and ends the slice before it
+    at = np.flatnonzero(cuts(stopped))
+    stop = ~inside[at]
+    byte = at_byte[at - (np.cumsum(stop) - stop)]
+    first = np.flatnonzero(~stop)
+    count = np.diff(np.concatenate([[0], np.cumsum(~stop)[stop]]))
+    return byte[first], byte[first + 1], count
 
 
 @lru_cache(maxsize=4)
@@ -247,12 +261,14 @@ def _pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table[:, 0].copy(), table[:, 1].copy(), np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
 
-def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
-    """``merge`` of many slices at once: each round joins one pair in every slice that still has one."""
+def merge_many(data: np.ndarray, sizes: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """``merge`` of many slices laid end to end: each round joins one pair in every slice that still has one.
+
+    Returns the ids end to end and their number in each slice.
+    """
     keys, joined, single = _pair_table(path)
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    token = single[np.frombuffer(b"".join(pieces), np.uint8)]
-    owner = np.repeat(np.arange(len(pieces)), sizes)
+    token = single[data]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
 
     def ranked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -288,41 +304,148 @@ def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
         if len(at) and at[-1] == len(token) - 1:
             rank[-1] = NO_RANK
     tokens, owners = np.concatenate(done_tokens), np.concatenate(done_owners)
-    tokens = tokens[np.argsort(owners, kind="stable")].tolist()
-    ends = np.cumsum(np.bincount(owners, minlength=len(pieces))).tolist()
-    return [tuple(tokens[a:b]) for a, b in zip([0, *ends], ends)]
+    return tokens[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(sizes))
+
+
+def _positions(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...`` of every range, end to end."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+def _differ(keys: list[np.ndarray], place: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    out = keys[0][place] != own[0]
+    for kept, k in zip(keys[1:], own[1:]):
+        out |= kept[place] != k
+    return out
 
 
-class SliceCache(dict):
-    """Ids of slices seen before; emptied when full, so its memory is bounded."""
+class SliceCache:
+    """Ids of slices seen before, in arrays.
+
+    A slice of at most ``KEY_BYTES[-1]`` bytes is its own key: its bytes in 64-bit words, filled up with a byte that
+    UTF-8 never has.  Each key has two places, where a later key may replace an earlier one, so memory is bounded; the
+    ids lie in a pool that is emptied when full.  Longer slices are merged one by one through a small dictionary.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         self.path = path
         self.ranks, _ = load_ranks(path)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        return merge(piece.encode(), self.ranks)
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self) >= CACHED_SLICES:
+        self.clear()
+
+    def clear(self) -> None:
+        # words of ones belong to no key
+        self.keys = [[np.full(PLACES, _FILL[0]) for _ in range(size // 8)] for size in KEY_BYTES]
+        self.begin = [np.zeros(PLACES, np.int64) for _ in KEY_BYTES]
+        self.count = [np.zeros(PLACES, np.int32) for _ in KEY_BYTES]
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.used = 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+
+    def _add(self, ids: np.ndarray) -> int:
+        """The place of new ids in the pool."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            grown = np.zeros(max(self.used, 2 * len(self.pool)), np.int32)
+            grown[:at] = self.pool[:at]
+            self.pool = grown
+        self.pool[at : self.used] = ids
+        return at
+
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slices end to end, and their number in each slice."""
+        if self.used > POOL:
             self.clear()
-        new = [p for p in filterfalse(self.__contains__, set(pieces)) if len(p) <= SHORT_SLICE // 4]
-        if new:
-            self.update(zip(new, merge_many([p.encode() for p in new], self.path)))
+        begin, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        padded = np.concatenate([data, np.zeros(KEY_BYTES[-1], np.uint8)])
+        words = np.ndarray((len(data) + KEY_BYTES[-1] - 7,), "<u8", padded, strides=(1,))
+        sizes = ends - starts
+        least = 0
+        for level, most in enumerate(KEY_BYTES):
+            own = np.flatnonzero((sizes > least) & (sizes <= most))
+            if len(own):
+                begin[own], count[own] = self._short(level, padded, words, starts[own], sizes[own])
+            least = most
+        for i in np.flatnonzero(sizes > least).tolist():
+            piece = data[starts[i] : ends[i]].tobytes()
+            found = self.long.get(piece)
+            if found is None:
+                ids = np.array(merge(piece, self.ranks), np.int32)
+                found = (self._add(ids), len(ids))
+                if len(piece) <= SHORT_SLICE and len(self.long) < CACHED_SLICES:
+                    self.long[piece] = found
+            begin[i], count[i] = found
+        return self.pool[_positions(begin, count)], count
+
+    def _short(self, level: int, padded: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, begins, counts = self.keys[level], self.begin[level], self.count[level]
+        own = []
+        code = np.zeros(len(starts), np.uint64)
+        for w in range(len(keys)):
+            own.append(words[starts + 8 * w] | _FILL[np.clip(sizes - 8 * w, 0, 8)])
+            code = mix(code ^ own[-1])
+        near = (code & np.uint64(PLACES - 1)).astype(np.int64)
+        begin, count = begins[near], counts[near].astype(np.int64)
+        miss = np.flatnonzero(_differ(keys, near, own))
+        if len(miss):
+            far = (code[miss] >> np.uint64(40) & np.uint64(PLACES - 1)).astype(np.int64)
+            begin[miss], count[miss] = begins[far], counts[far]
+            still = _differ(keys, far, [k[miss] for k in own])
+            miss, far = miss[still], far[still]
+        if len(miss):
+            # equal keys end to end, each merged once
+            order = np.lexsort([k[miss] for k in own])
+            fresh = np.zeros(len(miss), bool)
+            fresh[0] = True
+            for k in own:
+                fresh[1:] |= k[miss[order[1:]]] != k[miss[order[:-1]]]
+            one = miss[order[fresh]]
+            ids, number = merge_many(padded[_positions(starts[one], sizes[one])], sizes[one], self.path)
+            at = self._add(ids) + np.cumsum(number) - number
+            which = np.cumsum(fresh) - 1
+            begin[miss[order]], count[miss[order]] = at[which], number[which]
+            # a new key takes its first place if that is free, else its second; of several for one place the last stays
+            place = np.where(keys[0][near[one]] == _FILL[0], near[one], far[order[fresh]])
+            stays = len(one) - 1 - np.unique(place[::-1], return_index=True)[1]
+            for kept, k in zip(keys, own):
+                kept[place[stays]] = k[one[stays]]
+            begins[place[stays]] = at[stays]
+            counts[place[stays]] = number[stays]
+        return begin, count
+
+
+def encode_flat(data: np.ndarray, offsets: np.ndarray, cache: SliceCache) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of UTF-8 texts laid end to end, and ``len + 1`` offsets of the texts in them."""
+    starts, ends, per_text = slice_bounds(data, offsets)
+    ids, per_slice = cache.look_up(data, starts, ends)
+    before = np.concatenate([[0], np.cumsum(per_slice)])
+    return ids, before[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
 
 
 def encode_texts(texts: list[str], cache: SliceCache) -> list[list[int]]:
-    pieces = [[text[a:b] for a, b in zip(at, at[1:])] for text, at in zip(texts, slice_offsets(texts))]
-    cache.learn(list(chain.from_iterable(pieces)))
-    return [list(chain.from_iterable(map(cache.__getitem__, own))) for own in pieces]
+    data, offsets = flat(pa.array(texts, pa.string()))
+    ids, bounds = encode_flat(data, offsets, cache)
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+@lru_cache(maxsize=2)
+def _bytes_of_ids(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all ids end to end, first byte and length of each."""
+    _, pieces = load_ranks(path)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decode_flat(ids: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that lists of ids stand for, end to end, and ``len + 1`` offsets of the lists in them."""
+    data, first, size = _bytes_of_ids(path)
+    sizes = size[ids]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return data[_positions(first[ids], sizes)], before[offsets]
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    values = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
@@ -336,54 +459,71 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     schema = f"`{id_col}` {key}, ids array<int>" + (", starts array<int>" if offsets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces = load_ranks(ranks_path)
-        sizes = np.array([len(p) for p in pieces], np.int32)
+        _, _, sizes = _bytes_of_ids(ranks_path)
         cache = SliceCache(ranks_path)
         for batch in slices(batches, "text", SLICE):
-            ids = _lists(encode_texts(text_list(batch.column("text")), cache))
-            columns = [batch.column("id"), ids]
+            ids, bounds = encode_flat(*flat(batch.column("text")), cache)
+            columns = [batch.column("id"), _lists(ids, bounds)]
             if offsets:
-                size = sizes[ids.values.to_numpy()]
-                total = np.cumsum(size) - size
-                first = ids.offsets.to_numpy()
-                count = np.diff(first)
-                base = np.zeros(len(count), np.int64)
-                full = count > 0
-                base[full] = total[first[:-1][full]]
-                starts = (total - np.repeat(base, count)).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(ids.offsets, pa.array(starts)))
+                size = sizes[ids]
+                total = np.concatenate([[0], np.cumsum(size)])
+                columns.append(_lists(total[:-1] - np.repeat(total[bounds[:-1]], np.diff(bounds)), bounds))
             yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "starts"][: len(columns)])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, schema)
 
 
+def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    ).cast(pa.binary())
+
+
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id, ids, decoded``: the bytes that the ids stand for.  Null ids give no bytes."""
     key = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces = load_ranks(ranks_path)
-        piece = pieces.__getitem__
+        step = 256
         for batch in batches:
-            step = 256
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                decoded = [b"".join(map(piece, ids or ())) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("ids"), pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"]
-                )
+                lists = part.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                decoded = _binaries(*decode_flat(lists.flatten().to_numpy(), bounds, ranks_path))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, decoded], [id_col, "ids", "decoded"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return source.mapInArrow(run, f"`{id_col}` {key}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of whole texts, after a full round trip."""
-    there = decode(encode(docs, ranks_path, offsets=False), ranks_path)
-    return there.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of whole texts, after a full round trip.
+
+    Ids and decoded bytes are hashed in the task that makes them; repeated rows stay repeated.
+    """
+    short_batches(docs.sparkSession)
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = SliceCache(ranks_path)
+        for batch in slices(batches, "text", SLICE):
+            ids, bounds = encode_flat(*flat(batch.column("text")), cache)
+            decoded, byte = decode_flat(ids, bounds, ranks_path)
+            numbers = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids).cast(pa.string()))
+            written = pc.binary_join(numbers, ",").cast(pa.binary())
+            raw = memoryview(np.ascontiguousarray(decoded))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array(np.diff(bounds)),
+                    pa.array([hashlib.sha256(w.as_buffer()).hexdigest() for w in written]),
+                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(byte.tolist(), byte[1:].tolist())]),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    source = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
