@@ -15,8 +15,12 @@ from tabfold.llm.components import components
 Rule = tuple[str, str, str]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_IS_CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""
+_IS_REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
+_HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -52,21 +56,65 @@ def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return name, verdict
 
 
-def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: a page's url and the absolute target of its canonical link or refresh redirect."""
-    rows = pages.select(F.col(url_col).cast("string").alias("a"), F.col(html_col).cast("string").alias("h"))
-    rows = rows.where(F.col("h").rlike("(?i)canonical|http-equiv"))
-    targets = F.array(F.regexp_extract("h", _CANONICAL, 1), F.regexp_extract("h", _REFRESH, 1))
-    rows = rows.select("a", F.explode(targets).alias("t")).where("t <> '' AND a IS NOT NULL")
-    target = F.regexp_replace("t", "&amp;", "&")
-    scheme = F.regexp_extract("a", r"(?s)^([^:]*):", 1)
-    root = F.concat(scheme, F.lit("://"), F.regexp_extract(_after_scheme(F.col("a")), r"(?s)^([^/?#]*)", 1))
-    absolute = (
-        F.when(target.contains("://"), target)
+def _query(url: Column) -> Column:
+    return F.regexp_extract(_after_scheme(url), r"(?s)^[^?#]*(\?[^#]*)", 1)
+
+
+def _dotless(path: Column) -> Column:
+    """A path without the steps ``.`` and ``..``; an empty one is ``/``."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    steps = F.when(last.isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+
+    def step(done: Column, one: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(one == "..", up).when(one == ".", done).otherwise(F.concat(done, F.array(one)))
+
+    walked = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/")
+    plain = ~path.contains("/.")
+    return F.when(path == "", F.lit("/")).when(plain, path).otherwise(walked)
+
+
+def address(url: Column) -> Column:
+    """The form in which addresses are compared: scheme and host in lower case, no fragment, no dotted steps.
+
+    Null without ``://``.
+    """
+    scheme = F.translate(F.substring_index(url, "://", 1), _UPPER, _LOWER)
+    whole = F.concat(scheme, F.lit("://"), host_of(url), _dotless(path_of(url)), _query(url))
+    return F.when(url.contains("://"), whole)
+
+
+def _absolute(target: Column, page: Column) -> Column:
+    """What a link target on a page points to; null for other schemes than those with a host."""
+    scheme = F.substring_index(page, "://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(page))
+    folder = F.regexp_extract(path_of(page), r"(?s)^(.*/)", 1)
+    return (
+        F.when(target.rlike(_SCHEME), F.when(target.rlike(_SCHEME + "//"), target))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("#"), page)
+        .when(target.startswith("?"), F.concat(root, path_of(page), target))
+        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
-    return rows.select("a", absolute.alias("b")).where("b IS NOT NULL AND a <> b")
+
+
+def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``a, b``: addresses of a page and of each target of its canonical links and refresh redirects.
+
+    All tags of a page count; quoted, bare and relative targets are resolved against its url.  Pages without
+    url or html, or whose url has no ``://``, give no rows; neither do links of a page to itself.
+    """
+    rows = pages.select(F.col(url_col).cast("string").alias("page"), F.col(html_col).cast("string").alias("h"))
+    rows = rows.where(F.col("page").contains("://") & F.col("h").rlike("(?i)canonical|http-equiv"))
+    rows = rows.select("page", F.explode(F.regexp_extract_all("h", F.lit(_TAG), F.lit(0))).alias("tag"))
+    target = F.when(F.col("tag").rlike(_IS_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(
+        F.col("tag").rlike(_IS_REFRESH), F.regexp_extract("tag", _URL, 1)
+    )
+    rows = rows.select("page", F.regexp_replace(target, "&amp;", "&").alias("t")).where("t <> ''")
+    ends = rows.select(address(F.col("page")).alias("a"), address(_absolute(F.col("t"), F.col("page"))).alias("b"))
+    return ends.where("b IS NOT NULL AND a <> b")
 
 
 def judge(
@@ -79,7 +127,7 @@ def judge(
 ) -> DataFrame:
     """``id, host, path, rule, verdict`` for every page, repeated rows included.
 
-    ``edges`` (``a, b``: urls) are redirects and canonical links; their ends need not be pages: a rule counts
+    ``edges`` (``a, b``: in the form of ``address``) are redirects and canonical links; their ends need not be pages: a rule counts
     for them too.  A null url, or one without ``://``, has empty host and path, fits no rule and has no aliases.
     """
     url = F.col("url")
@@ -100,9 +148,9 @@ def judge(
     blocked = F.max(F.coalesce(F.col("said") == "block", F.lit(False)))
     allowed = F.max(F.coalesce(F.col("said") == "allow", F.lit(False)))
     fate = members.groupBy("component").agg((blocked & ~allowed).alias("tainted"))
-    aliases = found.join(fate, "component").where("tainted").select(F.col("node").alias("url"), "tainted")
+    aliases = found.join(fate, "component").where("tainted").select(F.col("node").alias("address"), "tainted")
     # a url may be that of many pages: the pages stay where they are when the aliases are few
-    judged = ruled(rows, "url").join(aliases, "url", "left")
+    judged = ruled(rows, "url").withColumn("address", address(url)).join(aliases, "address", "left")
     return judged.select(
         F.col("id").alias(id_col),
         "host",
@@ -125,24 +173,50 @@ def judge_sql(rules: list[Rule], default: str = "allow") -> str:
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in ordered]
     name = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, ordered)) + " END"
     said = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, ordered)) + " END"
-    quote = "[\"'']?"
-    scheme, root = "regexp_extract(a, '^([^:]*):', 1)", "regexp_extract(a, '^([^:]*://[^/?#]*)', 1)"
+    def after(url: str) -> str:
+        return f"substr({url}, strpos({url}, '://') + 3)"
+
+    def host(url: str) -> str:
+        return f"translate(regexp_extract({after(url)}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+
+    def path(url: str) -> str:
+        return f"regexp_extract({after(url)}, '^[^/?#]*([^?#]*)', 1)"
+
+    def scheme(url: str) -> str:
+        return f"substr({url}, 1, strpos({url}, '://') - 1)"
+
+    def addressed(url: str) -> str:
+        steps = f"string_split({path(url)}, '/')"
+        steps = f"(CASE WHEN {steps}[-1] IN ('.', '..') THEN list_append({steps}, '') ELSE {steps} END)"
+        walked = f"""array_to_string(list_reduce(list_transform({steps}, lambda s: [s]), lambda done, one: CASE
+          WHEN one = ['..'] THEN CASE WHEN len(done) > 1 THEN done[1:len(done) - 1] ELSE done END
+          WHEN one = ['.'] THEN done ELSE list_concat(done, one) END), '/')"""
+        query = f"regexp_extract({after(url)}, '^[^?#]*(\\?[^#]*)', 1)"
+        tidy = f"CASE WHEN {path(url)} = '' THEN '/' ELSE {walked} END"
+        return f"CASE WHEN contains({url}, '://') THEN translate({scheme(url)}, '{_UPPER}', '{_LOWER}') || '://' || {host(url)} || {tidy} || {query} END"
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    root = f"{scheme('page')} || '://' || {host('page')}"
+    folder = f"regexp_extract({path('page')}, '^(.*/)', 1)"
     return rf"""WITH RECURSIVE tags AS (
-  SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+  SELECT url AS page, unnest(regexp_extract_all(html, {quoted(_TAG)})) AS tag FROM pages WHERE contains(url, '://')),
 targets AS (
-  SELECT a, regexp_extract(tag, '(?is)href\s*=\s*{quote}([^"''\s>]+)', 1) AS t FROM tags
-  WHERE regexp_matches(tag, '(?is)^<link.*rel\s*=\s*{quote}canonical')
+  SELECT page, regexp_extract(tag, {quoted(_HREF)}, 1) AS t FROM tags WHERE regexp_matches(tag, {quoted(_IS_CANONICAL)})
   UNION ALL
-  SELECT a, regexp_extract(tag, '(?is)url\s*=\s*([^"''\s>]+)', 1) FROM tags
-  WHERE regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*{quote}refresh')),
-edges AS (
-  SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN {scheme} || ':' || t
-                 WHEN starts_with(t, '/') THEN {root} || t END AS b
-  FROM (SELECT a, replace(t, '&amp;', '&') AS t FROM targets WHERE t <> '')),
-both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+  SELECT page, regexp_extract(tag, {quoted(_URL)}, 1) FROM tags WHERE regexp_matches(tag, {quoted(_IS_REFRESH)})),
+resolved AS (
+  SELECT page, CASE WHEN regexp_matches(t, '{_SCHEME}') THEN CASE WHEN regexp_matches(t, '{_SCHEME}//') THEN t END
+                    WHEN starts_with(t, '//') THEN {scheme('page')} || ':' || t WHEN starts_with(t, '/') THEN {root} || t
+                    WHEN starts_with(t, '#') THEN page WHEN starts_with(t, '?') THEN {root} || {path('page')} || t
+                    ELSE {root} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || t END AS target
+  FROM (SELECT page, replace(t, '&amp;', '&') AS t FROM targets WHERE t <> '')),
+edges AS (SELECT {addressed('page')} AS a, {addressed('target')} AS b FROM resolved WHERE target IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 walk AS (SELECT a, b FROM both_ways UNION SELECT w.a, e.b FROM walk w JOIN both_ways e ON w.b = e.a),
 reached AS (SELECT a, {said} AS said FROM {parts("(SELECT a, b AS url FROM walk UNION SELECT a, a FROM walk)", "url")}),
 tainted AS (SELECT a FROM reached GROUP BY a HAVING bool_or(coalesce(said = 'block', false)) AND NOT bool_or(coalesce(said = 'allow', false)))
 SELECT page_id, host, path, {name} AS rule,
-  coalesce({said}, CASE WHEN url IN (SELECT a FROM tainted) THEN 'block' END, '{default}') AS verdict
+  coalesce({said}, CASE WHEN {addressed('url')} IN (SELECT a FROM tainted) THEN 'block' END, '{default}') AS verdict
 FROM {parts("pages", "url")}"""
