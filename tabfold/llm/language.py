@@ -7,11 +7,11 @@ margin over the runner-up is narrow is marked as rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,33 +28,35 @@ LANGUAGES = 512
 SEARCH = {"window_log": 20, "hash_log": 17, "chain_log": 17, "search_log": 3, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY}
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER, _NO_WORD = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def normal(text: str) -> str:
-    """Words in lower case, one blank apart; other signs say nothing of a language."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Words in lower case with their marks, one blank apart; other signs say nothing of a language.  Empty without a letter."""
+    return _NO_WORD.sub(" ", text.lower()).strip() if _LETTER.search(text) else ""
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language of the labelled rows, the most frequent language first.
 
-    Takes the first ``ROWS_PER_LANGUAGE`` rows of a language in the order of a hash of the text (equal texts
-    count once), in two steps so that a language with most of the rows is no large group.  Rows without
-    language or without a letter are left out.  More than ``LANGUAGES`` languages are an error.
+    What is learned is bounded: the first ``ROWS_PER_LANGUAGE`` different texts of a language in the order of a
+    hash, of each at most ``POINTS_PER_ROW`` code points, of all at most ``DICTIONARY_BYTES``.  Equal texts
+    count once; hashes are taken in two steps, so a language with most of the rows is no large group.  Rows
+    without language or without a letter are left out.  More than ``LANGUAGES`` languages are an error.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
     languages = [r["lang"] for r in common.limit(LANGUAGES + 1).collect()]
-    rows = rows.select("lang", F.substring("text", 1, POINTS_PER_ROW).alias("text"), F.xxhash64("text").alias("h"))
-    # the smallest hashes of a group, cut in each part before the parts meet
-    part = F.pmod("h", F.lit(PARTS))
-    first = Window.partitionBy("lang", part).orderBy("h", "text")
-    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 8 * ROWS_PER_LANGUAGE // PARTS)
-    whole = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= ROWS_PER_LANGUAGE)
-    rows = stage(rows.select("lang", "text", "h"), "sample")
+    # the smallest hashes of a language, cut in each part before the parts meet
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h")
+    picked = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first))
+    picked = picked.where(F.col("n") <= 8 * ROWS_PER_LANGUAGE // PARTS)
+    picked = picked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    picked = stage(picked.where(F.col("n") <= ROWS_PER_LANGUAGE).select("lang", "h"), "picked")
+    rows = rows.join(F.broadcast(picked), ["lang", "h"]) if len(languages) <= LANGUAGES else rows.limit(0)
+    rows = rows.groupBy("lang", "h").agg(F.min(F.substring("text", 1, POINTS_PER_ROW)).alias("text"))
+    rows = stage(rows, "sample")
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     out: dict[str, bytes] = {}
