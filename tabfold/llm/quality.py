@@ -257,6 +257,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     kept = scored.join(F.broadcast(limits), "lang").where(_kept())
     kept = kept.select(F.col("id").alias("kept_id"), F.col("lang").alias("kept_lang"), F.col("mark").alias("kept_mark"))
     kept = kept.hint("merge")  # as many rows as documents
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (lang == F.col("kept_lang"))
-    return docs.join(kept, same & (F.xxhash64(F.col(text_col).cast("string")) == F.col("kept_mark")), "left_semi")
+    lang = F.coalesce(docs[lang_col].cast("string"), F.lit("und"))
+    same = docs[id_col].eqNullSafe(kept["kept_id"]) & (lang == kept["kept_lang"])
+    return docs.join(kept, same & (F.xxhash64(docs[text_col].cast("string")) == kept["kept_mark"]), "left_semi")

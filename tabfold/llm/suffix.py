@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tabfold.llm.arrays import Rolling, flat, short_batches, slices
 from tabfold.workspace import stage
@@ -242,8 +243,8 @@ def _packed(source: DataFrame) -> DataFrame:
             packed = pa.array([shrink(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "k1", "k2")] + [packed], ["row", "k1", "k2", "packed"])
 
-    kept = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in source.schema["row"].dataType)
-    return source.mapInArrow(run, f"row struct<{kept}>, k1 long, k2 long, packed binary")
+    names = ["row", "k1", "k2"]
+    return source.mapInArrow(run, StructType([source.schema[n] for n in names]).add("packed", "binary"))
 
 
 def _spans(source: DataFrame, length: int, gram: int, whole_group: int) -> DataFrame:
@@ -340,16 +341,21 @@ def remove_repeats(
     gram: int = GRAM,
     whole_points: bool = False,
     whole_group: int = WHOLE_GROUP,
+    least_words: int = 0,
+    least_bytes: int = 0,
 ) -> DataFrame:
     """Every row with its columns but the text, and ``removed_spans`` and ``kept_text`` (bytes).
 
+    With ``least_words``, runs of fewer words stay unless they have ``least_bytes`` bytes.  Columns of the
+    input with the names of the two new ones are replaced.
+
     Texts are UTF-8 bytes, a null text is empty; strings are judged on the input.  Spans are the maximal
     removed runs, ``start`` inclusive and ``stop`` exclusive; with ``whole_points`` they are shrunk to whole
     code points, so that ``kept_text`` is valid UTF-8.  Rows repeated with id and text are documents of
     their own: each repeats the other.  A text shorter than ``length`` is kept whole.
     """
     short_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "removed_spans", "kept_text")]
     source = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -364,6 +370,8 @@ def remove_repeats(
             for packed, spans in zip(batch.column("packed"), batch.column("spans").to_pylist()):
                 data = zstandard.decompress(packed.as_py())
                 own = _merged(spans, data, whole_points)
+                if least_words:
+                    own = [(a, b) for a, b in own if b - a >= least_bytes or len(data[a:b].split()) >= least_words]
                 runs.append([{"start": a, "stop": b} for a, b in own])
                 edges = [0, *[e for span in own for e in span], len(data)]
                 texts.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])]))
@@ -372,13 +380,16 @@ def remove_repeats(
                 [batch.column("row"), pa.array(runs, span), pa.array(texts, pa.binary())], ["row", "removed_spans", "kept_text"]
             )
 
-    kept = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in source.schema["row"].dataType)
-    out = joined.mapInArrow(run, f"row struct<{kept}>, removed_spans array<struct<start: int, stop: int>>, kept_text binary")
+    span_type = ArrayType(StructType().add("start", "integer").add("stop", "integer"))
+    out = joined.mapInArrow(run, StructType([source.schema["row"]]).add("removed_spans", span_type).add("kept_text", "binary"))
     return out.select("row.*", "removed_spans", "kept_text")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, repeats`` of every row.
+
+    ``n_kept`` counts the bytes that stay, ``repeats`` tells whether any were removed.
+    """
     done = remove_repeats(docs.select("doc_id", "text"))
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return done.select(
@@ -387,4 +398,6 @@ def digests(docs: DataFrame) -> DataFrame:
         removed.alias("n_removed"),
         F.size("removed_spans").cast("long").alias("n_spans"),
         F.sha2("kept_text", 256).alias("kept_sha256"),
+        F.octet_length("kept_text").cast("long").alias("n_kept"),
+        (removed > 0).alias("repeats"),
     )
