@@ -7,13 +7,14 @@ tables, and returns what goes on.  All but the last keep the columns of the docu
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabfold.llm import bpe, decontam, quality, sketches, suffix
 from tabfold.workspace import stage
 
-#: Fifty words have about as many bytes or more.
-REPEAT_BYTES = 250
+#: Repeats of over fifty words are removed, however short the words, and all repeats of so many bytes.  The search
+#: begins at ``SEARCH_BYTES``: 51 words of two letters have as many or nearly so.
+REPEAT_WORDS, REPEAT_BYTES, SEARCH_BYTES = 51, 250, 160
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -24,19 +25,33 @@ def quality_filter(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies (runs of five words, similarity 0.8): that with the smallest id."""
+    """One document of each group of near copies (runs of five words, similarity 0.8): that with the smallest id.
+
+    Of rows with equal id and text one stays; rows are told apart behind the join by ids, on the same partitions.
+    """
     judged = sketches.near_duplicates(docs)
     gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone_id")).hint("merge")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(F.struct("*").alias("row"), "doc_id")
+    mark = F.xxhash64(F.col("row")["text"].cast("string"))
+    left = left.withColumn("mark", mark)
+    first = Window.partitionBy("doc_id", "mark").orderBy("mark")
+    return left.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents without the strings of ``REPEAT_BYTES`` that repeat, cut at whole code points; lengths follow."""
-    done = suffix.remove_repeats(docs, length=REPEAT_BYTES, whole_points=True)
-    renewed = {"text": F.col("kept_text").cast("string")}
+    """All documents without what repeats elsewhere in runs of over fifty words or of ``REPEAT_BYTES`` bytes.
+
+    A run is what repeated strings of ``SEARCH_BYTES`` cover together, cut at whole code points; lengths follow.
+    """
+    packed = docs.select("doc_id", "text", F.struct("*").alias("all"))
+    done = suffix.remove_repeats(
+        packed, length=SEARCH_BYTES, whole_points=True, least_words=REPEAT_WORDS, least_bytes=REPEAT_BYTES
+    )
+    text = F.col("kept_text").cast("string")
+    renewed = {"text": text}
     if "n_chars" in docs.columns:
-        renewed["n_chars"] = F.length(renewed["text"]).cast(docs.schema["n_chars"].dataType)
-    return done.withColumns(renewed).select(*docs.columns)
+        renewed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[renewed.get(c, F.col("all")[c]).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
