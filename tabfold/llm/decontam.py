@@ -3,9 +3,9 @@
 Words become templates: numbers, units after numbers, and names (capitals inside a sentence) turn into typed
 placeholders, all else into lower case without closing punctuation.  Hashes of every window of ``WINDOW``
 template words of the documents are joined with those of the benchmark items, and equal windows are
-compared word by word.  Matches of a document and an item at one offset form an alignment; it counts if its
-slots are consistent: one value of the item stands for one value of the document and the other way round,
-whether the values are the same or re-parameterised.
+compared word by word.  Windows with too many placeholders, and short items, are looked for word for word.
+Matches of a document and an item at one offset form an alignment; it counts if its slots are consistent: one
+value of the item always stands for the same value of the document, be it the item's own or another.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabfold.workspace import stage
 
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders; with fewer it is looked for word for word.
 LITERALS = 4
+#: Words of the shortest item that is looked for inside longer documents.
+SHORTEST = 4
 #: A document leaks an item if aligned windows cover this share of it, or one alignment so many words.
 COVERAGE = 0.5
 RUN = 13
@@ -82,8 +84,46 @@ def _hash(at: Column, size: int) -> Column:
     return F.xxhash64(F.slice("hashes", at, size))
 
 
+def _is_slot(word: Column) -> Column:
+    return word.isin(NUMBER, UNIT, NAME)
+
+
+def _exact(words: Column, raw: Column) -> Column:
+    """Template words with the document's own in the place of placeholders."""
+    return F.transform(words, lambda w, i: F.when(_is_slot(w), _bare(F.get(raw, i))).otherwise(w))
+
+
 def _hashed(templated: DataFrame) -> DataFrame:
-    return templated.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    """With ``hashes`` of template words and ``exacts`` of the words themselves, which differ in slots only."""
+    hashed = templated.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    own = lambda h, i: F.when(_is_slot(F.get("words", i)), F.xxhash64(_bare(F.get("raw", i)))).otherwise(h)
+    return hashed.withColumn("exacts", F.transform("hashes", own))
+
+
+def _poor_starts(size: int) -> Column:
+    """First positions, from 1, of the windows with fewer than ``LITERALS`` literals, found from slot to slot."""
+    slots = F.array_compact(F.transform("words", lambda w, i: F.when(_is_slot(w), i + 1)))
+    many = size - LITERALS + 1  # slots that make a window poor
+
+    def around(one: Column, j: Column) -> Column:
+        first = F.greatest(F.get(slots, j + many - 1) - size + 1, F.lit(1))
+        last = F.least(one, F.size("words") - size + 1)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    # beyond the last slots there is no slot to reach: the bound is null and the range empty
+    return F.when(F.size(slots) >= many, F.array_distinct(F.flatten(F.transform(slots, around)))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(size: int, lengths: list[int]) -> Column:
+    """``at, hash`` of all windows that are looked up: by template, poor ones and short lengths word for word."""
+    exact = lambda width: lambda at: F.struct((at - 1).alias("at"), F.xxhash64(F.slice("exacts", at, width)).alias("hash"))
+    rich = F.transform(_starts(size), lambda at: F.struct((at - 1).alias("at"), _hash(at, size).alias("hash")))
+    out = [rich, F.transform(_poor_starts(size), exact(size))]
+    for width in lengths:
+        fits = F.size("words") >= width
+        starts = F.when(fits, F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1))))
+        out.append(F.transform(F.coalesce(starts, F.array().cast("array<int>")), exact(width)))
+    return F.concat(*out)
 
 
 def leaks(
@@ -99,32 +139,43 @@ def leaks(
 
     ``n_windows`` counts the item's windows in consistent alignments, ``coverage`` is their share, ``n_slots``
     counts different slot values, ``verbatim`` tells that all are the item's own.  Null and blank texts
-    match nothing; an item, or a document, of fewer than ``size`` words is one window, so a short item is
-    found only in a document that holds nothing else.  Windows with fewer than ``LITERALS`` words besides
-    placeholders (fewer than all, if the window has fewer words) are not looked for.  Repeated items are
-    items of their own, documents that repeat an id are judged together.
+    match nothing.  Windows with fewer than ``LITERALS`` words besides placeholders must be equal word for word.
+    An item, or a document, of fewer than ``size`` words is one window; an item of ``SHORTEST`` to ``size``
+    words is also found word for word inside longer documents, a shorter one only in a document that holds
+    nothing else.  Repeated items are items of their own, documents that repeat an id are judged together.
     """
     items = _hashed(_templated(benchmark, item_col, item_text_col).where(F.size("words") > 0))
     cut = F.transform(
         _starts(size),
         lambda at: F.struct(
             (at - 1).alias("item_at"),
-            _hash(at, size).alias("hash"),
+            _hash(at, size).alias("alike"),
+            F.xxhash64(F.slice("exacts", at, size)).alias("same"),
             F.slice("words", at, size).alias("item_window"),
             F.slice("raw", at, size).alias("item_raw"),
             F.greatest(F.size("words") - size + 1, F.lit(1)).alias("item_windows"),
+            (F.size("words") <= size).alias("single"),
         ),
     )
     items = items.select(F.col("id").alias("item"), F.explode(cut).alias("cut")).select("item", "cut.*")
-    literal = F.size(F.filter("item_window", lambda w: ~w.isin(NUMBER, UNIT, NAME)))
-    items = stage(items.where(literal >= F.least(F.lit(LITERALS), F.size("item_window"))), "items")
+    width = F.size("item_window")
+    literal = F.size(F.filter("item_window", lambda w: ~_is_slot(w)))
+    rich = literal >= F.least(F.lit(LITERALS), width)
+    short = F.col("single") & (width >= SHORTEST)
+    ways = F.array(
+        F.when(rich, F.struct(F.col("alike").alias("hash"), F.lit(False).alias("exact"))),
+        F.when(short | (~rich & (width == size)), F.struct(F.col("same").alias("hash"), F.lit(True).alias("exact"))),
+    )
+    items = items.select("*", F.explode(F.array_compact(ways)).alias("way")).select("*", "way.*").drop("way", "alike", "same")
+    items = stage(items, "items")
+    lengths = sorted(r[0] for r in items.where("single AND exact").select(width).distinct().collect())  # at most size
     hashes = items.select("hash").distinct()
     looked_for = F.broadcast(hashes) if items.count() <= BROADCAST_WINDOWS else hashes
 
     # first only hashes travel; the words of a document come in where it has a hit
     templated = _hashed(_templated(docs, id_col, text_col))
-    windows = templated.select("id", F.posexplode(F.transform(_starts(size), lambda at: _hash(at, size))).alias("at", "hash"))
-    hits = windows.join(looked_for, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "hash")).alias("hits"))
+    windows = templated.select("id", F.explode(_windows(size, lengths)).alias("w")).select("id", "w.*")
+    hits = windows.join(looked_for, "hash").groupBy("id").agg(F.collect_set(F.struct("at", "hash")).alias("hits"))
     hits = stage(hits.withColumnRenamed("id", "hit"), "hits")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(hits.hint("merge"), F.col("id").eqNullSafe(F.col("hit")))  # hits grow with the corpus
@@ -140,7 +191,12 @@ def leaks(
         ),
     )
     found = texts.select("id", F.explode(lifted).alias("hit")).select("id", "hit.*").join(items, "hash")
-    found = found.where("window = item_window")
+    found = found.where(
+        F.when(~F.col("exact"), F.col("window") == F.col("item_window")).otherwise(
+            F.slice(_exact(F.col("window"), F.col("doc_raw")), 1, F.size("item_window")) == _exact(F.col("item_window"), F.col("item_raw"))
+        )
+    )
+    found = found.withColumn("doc_raw", F.slice("doc_raw", 1, F.size("item_window")))
     pairs = F.arrays_zip(F.col("item_window").alias("kind"), F.col("item_raw").alias("item"), F.col("doc_raw").alias("doc"))
     bare = lambda c: F.rtrim(F.lower(c), F.lit(_CLOSING))
     slots = F.transform(
@@ -153,10 +209,7 @@ def leaks(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     theirs = F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))
-    ours = F.transform("slots", lambda s: F.struct(s["kind"], s["doc"]))
-    count = F.size("slots")
-    consistent = (F.size(F.array_distinct(theirs)) == count) & (F.size(F.array_distinct(ours)) == count)
-    aligned = aligned.where(consistent)
+    aligned = aligned.where(F.size(F.array_distinct(theirs)) == F.size("slots"))
     judged = aligned.groupBy("id", "item", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"),
         F.max(F.size("places")).alias("longest"),
@@ -199,19 +252,34 @@ def leaks_sql(size: int = WINDOW) -> str:
         raw = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')"
         return f"""(SELECT id, raw, list_transform(raw, lambda t, i: {word}) AS words FROM (SELECT {key} AS id, {raw} AS raw FROM {table}))"""
 
+    def exact(win: str, raw: str) -> str:
+        return f"list_transform({win}, lambda w, i: CASE WHEN w IN ({marks}) THEN rtrim(lower({raw}[i]), {closing}) ELSE w END)"
+
     def windows(source: str) -> str:
-        return f"""(SELECT id, words[s:s + {size - 1}] AS win, raw[s:s + {size - 1}] AS raw, s - 1 AS at, greatest(len(words) - {size - 1}, 1) AS total
+        return f"""(SELECT id, len(words) AS n, words[s:s + {size - 1}] AS win, raw[s:s + {size - 1}] AS raw, s - 1 AS at, greatest(len(words) - {size - 1}, 1) AS total
     FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - {size - 1}, 1))) AS s FROM {source} WHERE len(words) > 0))"""
 
-    return f"""WITH items AS (SELECT * FROM {windows(templated("benchmark", "item_id"))}
-  WHERE len(list_filter(win, lambda w: w NOT IN ({marks}))) >= least({LITERALS}, len(win))),
-found AS (SELECT d.id, i.id AS item, i.at AS item_at, d.at - i.at AS shift, i.total, i.win, i.raw AS item_raw, d.raw AS doc_raw
-  FROM {windows(templated("documents", "doc_id"))} d JOIN items i ON d.win = i.win),
+    return f"""WITH doc AS (SELECT * FROM {templated("documents", "doc_id")}),
+items AS (SELECT *, len(list_filter(win, lambda w: w NOT IN ({marks}))) >= least({LITERALS}, len(win)) AS rich, {exact("win", "raw")} AS same
+  FROM {windows(templated("benchmark", "item_id"))}),
+cut AS (SELECT id, win, raw, "at" FROM {windows("doc")}),
+poor AS (SELECT *, {exact("win", "raw")} AS same FROM cut
+  WHERE len(win) = {size} AND len(list_filter(win, lambda w: w NOT IN ({marks}))) < {LITERALS}),
+widths AS (SELECT DISTINCT n AS width FROM items WHERE n BETWEEN {SHORTEST} AND {size}),
+short AS (SELECT *, {exact("win", "raw")} AS same FROM (SELECT id, s - 1 AS at, words[s:s + width - 1] AS win, raw[s:s + width - 1] AS raw
+  FROM (SELECT *, unnest(generate_series(1, len(words) - width + 1)) AS s FROM doc JOIN widths ON len(words) >= width))),
+met AS (
+  SELECT d.id, d.at AS pos, d.raw AS doc_raw, i.id AS item, i.at AS item_at, i.total, i.win, i.raw AS item_raw FROM cut d JOIN items i ON d.win = i.win WHERE rich
+  UNION ALL
+  SELECT d.id, d.at AS pos, d.raw AS doc_raw, i.id AS item, i.at AS item_at, i.total, i.win, i.raw AS item_raw FROM poor d JOIN items i ON d.same = i.same WHERE NOT rich AND i.n >= {size}
+  UNION ALL
+  SELECT d.id, d.at AS pos, d.raw AS doc_raw, i.id AS item, i.at AS item_at, i.total, i.win, i.raw AS item_raw FROM short d JOIN items i ON d.same = i.same WHERE i.n BETWEEN {SHORTEST} AND {size}),
+found AS (SELECT id, item, item_at, pos - item_at AS shift, total, win, item_raw, doc_raw FROM met),
 places AS (SELECT DISTINCT id, item, shift, total, item_at FROM found),
 slots AS (SELECT DISTINCT id, item, shift, win[j] AS kind, rtrim(lower(item_raw[j]), {closing}) AS theirs, rtrim(lower(doc_raw[j]), {closing}) AS ours
   FROM (SELECT *, unnest(generate_series(1, len(win))) AS j FROM found) WHERE win[j] IN ({marks})),
 values_of AS (SELECT id, item, shift, count(*) AS n_slots, bool_and(theirs = ours) AS verbatim,
-    count(*) = count(DISTINCT (kind, theirs)) AND count(*) = count(DISTINCT (kind, ours)) AS consistent
+    count(*) = count(DISTINCT (kind, theirs)) AS consistent
   FROM slots GROUP BY ALL),
 sized AS (SELECT *, count(*) OVER (PARTITION BY id, item, shift) AS run FROM places),
 judged AS (SELECT p.id, p.item, p.total, count(DISTINCT item_at) AS n, max(run) AS longest,

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabfold.llm import decontam, licenses, queries, sharding, sketches, suffix, urls
@@ -226,10 +227,35 @@ def test_leaks_beyond_the_broadcast_bound(spark):
         decontam.BROADCAST_WINDOWS = before
 
 
-def test_short_items_match_whole_documents_only(spark):
-    items = spark.createDataFrame([(1, "just four words here")], "item_id long, text string")
-    docs = _docs(spark, ["Just four words here.", "so just four words here too", "just four"])
-    assert [r["doc_id"] for r in decontam.leaks(docs, items).collect()] == [0]
+def test_short_and_number_rich_items(spark):
+    items = [
+        (1, "What is the capital of Australia?"),
+        (2, "Find the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36 and 39."),
+        (3, "Ann has 3 apples and 12 pears, so how many fruits does she hold in both hands?"),
+        (4, "Yes of course."),
+        (5, "Name the longest river that crosses three borders."),
+    ]
+    docs = [
+        (1, "We asked them: what is the capital of Australia? Nobody knew it at that time."),
+        (2, "What is the capital of Australia"),
+        (3, "what is the capital of Austria? It is a city with a long past."),
+        (4, "Exercise one. Find the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36 and 39. Then rest."),
+        (5, "Numbers: 12, 15, 18, 21, 24, 27, 30, 34, 37, 40, 43 and 46 in a row."),
+        (6, "Ann has 5 apples and 5 pears, so how many fruits does she hold in both hands?"),
+        (7, "She said yes of course. And went."),
+        (8, "Yes, of course!"),
+        (9, "then Name the longest river that crosses three borders."),
+        (10, None),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    leaked = decontam.leaks(docs, items)
+    found = {(r["doc_id"], r["item_id"]) for r in leaked.collect()}
+    assert found == {(1, 1), (2, 1), (4, 2), (6, 3), (8, 4), (9, 5)}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    assert compare(leaked, con, decontam.leaks_sql()) == len(found)
 
 
 def test_leaks_hold_all_items_found_as_text(spark):
@@ -319,6 +345,31 @@ def test_blocks_travel_to_aliases_unless_allowed(spark):
     assert found == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow"), 3: ("com/", "allow"), 4: (None, "allow"), 5: (None, "block")}
 
 
+def test_links_of_every_kind_reach_their_pages(spark):
+    bad = '<link rel="canonical" href="http://bad.net/es/{}">'
+    rows = [
+        (0, "http://a.org/x", """<meta http-equiv="refresh" content="0; url='http://b.org/y'">"""),
+        (1, "http://b.org/y", bad.format(1)),
+        (2, "http://a.org/dir/p.html?n=1", '<link rel=canonical href="q.html">'),
+        (3, "http://a.org/dir/q.html", bad.format(2)),
+        (4, "http://c.org/s", '<link rel=canonical href="http://c.org/s"><link rel=canonical href="../t?u=1&amp;v=2#w">'),
+        (5, "HTTP://C.org/./a/../t?u=1&v=2#f", bad.format(3)),
+        (6, "http://d.org", '<link rel="canonical" href="?p=2"><link rel="canonical" href="mailto:x">'),
+        (7, "http://d.org/?p=2", bad.format(4)),
+        (8, "http://D.ORG/#f", "<p>none</p>"),
+        (9, "http://e.org/1", '<link rel="canonical" href="#top">'),
+        (10, None, bad.format(5)),
+        (11, "no scheme", bad.format(6)),
+        (12, "http://f.org/1", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = urls.judge(pages, urls.links(pages), queries.URL_RULES)
+    assert {r["page_id"] for r in judged.collect() if r["verdict"] == "block"} == {*range(9)}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert compare(judged, con, urls.judge_sql(queries.URL_RULES)) == len(rows)
+
+
 # --- shards
 
 
@@ -356,6 +407,34 @@ def test_slots_are_gapless_in_key_order(spark):
 # --- the pipeline
 
 
+def test_pipeline_keeps_clashing_columns_and_one_of_repeated_rows(spark):
+    names = ["kept_text", "removed_spans", "kept_id", "kept_lang", "kept_mark", "gone_id", "leaked_id", "row", "all", "n", "mark", "h", "a b"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.union(docs.where("doc_id < 5")).withColumns({c: F.lit(f"own {c}") for c in names})
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        after = function(spark, docs, SMALL)
+        assert after.dtypes == docs.dtypes, name
+        docs = spark.createDataFrame(after.collect(), after.schema)
+    rows = docs.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in names)
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    early = [r for r in rows if r["doc_id"] < 5]
+    assert early and all(r["text"] or not texts[r["doc_id"]] for r in early)
+
+
+def test_pipeline_removes_shared_passages_of_short_words(spark):
+    passage = " ".join("a b cd e fg hi j k lm no".split() * 3 + [f"wo{i}" for i in range(21)])
+    assert len(passage.split()) == 51 and 160 <= len(passage) < 250
+    near = "this sentence of some forty words is shared and yet it stays " * 3
+    rows = [(i, f"first {i} {i * i} {passage} last {i + 7}") for i in range(3)]
+    rows += [(i, f"before {i} {near[:200]} after {i * 3}") for i in range(10, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, SMALL).collect()}
+    assert all(passage[:60] not in kept[i] and kept[i].startswith("first") for i in range(3))
+    assert all(kept[i] == text for i, text in rows[3:])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, function in corpus_pipeline.STAGES[:-1]:

@@ -97,6 +97,30 @@ def test_language_of_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_letters_and_marks(spark):
+    assert language.normal("नमस्ते") == "नमस्ते" and language.normal("Añn\u0303o 12_x") == "añn\u0303o x"
+    assert language.normal("½ ² ③ ⅷ \u0301") == ""
+    docs = spark.createDataFrame([(1, "½ ² ③"), (2, "a word")], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, {"en": b"a word of some text"}).collect()}
+    assert found == {1: "und", 2: "en"}
+
+
+def test_copies_of_a_text_are_learned_once(spark):
+    texts = [f"zeile {chr(97 + i % 26)}{chr(97 + i // 26)} und noch etwas" for i in range(300)]
+    rows = [(t, "de") for t in texts] + [("immer dasselbe", "de")] * 2_000
+    found = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(found["de"].decode().split("\n")) > 250
+
+
+def test_slices_beyond_the_cache_merge_alike(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PLACES", 8)
+    monkeypatch.setattr(bpe, "POOL", 40)
+    cache = bpe.SliceCache(RANKS)
+    texts = ["\0" * 16 + "ab", "", "unaufhaltsamkeitsgesetzgebungsverfahren " * 3, *(f"word{i} drei{i % 5}" for i in range(60))]
+    for _ in range(3):
+        assert bpe.encode_texts(texts, cache) == [library.encode_ordinary(t) for t in texts]
+
+
 def test_language_of_odd_rows(spark, odd):
     found = language.identify(odd, {"en": b"some english text", "fr": b"du texte"}).collect()
     by_id = {r["doc_id"]: r for r in found}
