@@ -5,7 +5,8 @@ placeholders, all else into lower case without closing punctuation.  Hashes of e
 template words of the documents are joined with those of the benchmark items, and equal windows are
 compared word by word.  Windows with too many placeholders, and short items, are looked for word for word.
 Matches of a document and an item at one offset form an alignment; it counts if its slots are consistent: one
-value of the item always stands for the same value of the document, be it the item's own or another.
+value of the item always stands for the same value of the document, be it the item's own or another, and at most
+``SHARED`` values of the item meet in one of the document.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ WINDOW = 8
 LITERALS = 4
 #: Words of the shortest item that is looked for inside longer documents.
 SHORTEST = 4
+#: Values of an item that one value of a document may stand for.
+SHARED = 2
 #: A document leaks an item if aligned windows cover this share of it, or one alignment so many words.
 COVERAGE = 0.5
 RUN = 13
@@ -106,11 +109,11 @@ def _poor_starts(size: int) -> Column:
     many = size - LITERALS + 1  # slots that make a window poor
 
     def around(one: Column, j: Column) -> Column:
-        first = F.greatest(F.get(slots, j + many - 1) - size + 1, F.lit(1))
+        reach = F.get(slots, j + many - 1)  # null behind the last slots
+        first = F.greatest(reach - size + 1, F.lit(1))
         last = F.least(one, F.size("words") - size + 1)
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.when(reach.isNotNull() & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
-    # beyond the last slots there is no slot to reach: the bound is null and the range empty
     return F.when(F.size(slots) >= many, F.array_distinct(F.flatten(F.transform(slots, around)))).otherwise(F.array().cast("array<int>"))
 
 
@@ -209,7 +212,9 @@ def leaks(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     theirs = F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))
-    aligned = aligned.where(F.size(F.array_distinct(theirs)) == F.size("slots"))
+    alike = lambda s: lambda t: (t["kind"] == s["kind"]) & (t["doc"] == s["doc"])
+    few = F.forall("slots", lambda s: F.size(F.filter("slots", alike(s))) <= SHARED)
+    aligned = aligned.where((F.size(F.array_distinct(theirs)) == F.size("slots")) & few)
     judged = aligned.groupBy("id", "item", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"),
         F.max(F.size("places")).alias("longest"),
@@ -279,8 +284,8 @@ places AS (SELECT DISTINCT id, item, shift, total, item_at FROM found),
 slots AS (SELECT DISTINCT id, item, shift, win[j] AS kind, rtrim(lower(item_raw[j]), {closing}) AS theirs, rtrim(lower(doc_raw[j]), {closing}) AS ours
   FROM (SELECT *, unnest(generate_series(1, len(win))) AS j FROM found) WHERE win[j] IN ({marks})),
 values_of AS (SELECT id, item, shift, count(*) AS n_slots, bool_and(theirs = ours) AS verbatim,
-    count(*) = count(DISTINCT (kind, theirs)) AS consistent
-  FROM slots GROUP BY ALL),
+    count(*) = count(DISTINCT (kind, theirs)) AND max(shared) <= {SHARED} AS consistent
+  FROM (SELECT *, count(*) OVER (PARTITION BY id, item, shift, kind, ours) AS shared FROM slots) GROUP BY id, item, shift),
 sized AS (SELECT *, count(*) OVER (PARTITION BY id, item, shift) AS run FROM places),
 judged AS (SELECT p.id, p.item, p.total, count(DISTINCT item_at) AS n, max(run) AS longest,
     max(coalesce(n_slots, 0)) AS n_slots, bool_or(coalesce(verbatim, true)) AS verbatim
