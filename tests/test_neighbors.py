@@ -182,3 +182,33 @@ def test_lists_recall_and_cost(spark):
     every = vector_topk_ivf(data, data, 5, **names, lists=24, nprobe=24, chunk_rows=40, block_rows=50).collect()
     assert {(r["test_id"], r["train_id"]) for r in every} == exact
     assert list_pairs(data, data, 5, **names, lists=24, nprobe=6).count() < 0.1 * 1200 * 1200
+
+
+def test_chunks_grow_with_the_table(spark, monkeypatch):
+    """A small ``chunk_rows`` must not cut a large table into chunks by the hundred: each is met by every block."""
+    met = []
+    real = Q._meet
+    monkeypatch.setattr(Q, "_meet", lambda blocks, chunks, *rest: (met.append((blocks.count(), chunks.count())), real(blocks, chunks, *rest))[1])
+    points = _points("random", n=3000)
+    data = _frame(spark, points)
+    near = N.k_nearest(data, data, 3, test_id="id", train_id="id", group="fold", chunk_rows=8, block_rows=8)
+    folds = np.arange(len(points)) % 4
+    assert _found(near) == _brute(points, points, 3, folds, folds)
+    assert all(blocks <= 2 * Q.BLOCKS and chunks <= 4 * Q.CHUNKS for blocks, chunks in met)
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_bounded_rows_leave_few_pairs(grouped):
+    """With and without a known bound: all true neighbours, and little more, leave the kernel."""
+    rng = np.random.default_rng(9)
+    test, train = rng.normal(size=(60, 32)), rng.normal(size=(9000, 32))
+    groups = (np.arange(60) % 3, np.arange(9000) % 3) if grouped else (None, None)
+    coded = [Q.Coded(*Q.encode(points, pivot), pivot, g) for points, pivot, g in ((test, train[0], groups[0]), (train, train[1], groups[1]))]
+    best = _brute(test, train, 6, *groups)
+    bounds = np.array([near[-1][1] + 1e-3 for near in best.values()])
+    bounds[::7] = np.inf
+    for bound in (None, bounds):
+        i, j, _, _ = Q.candidates(*coded, 6, bound)
+        pairs = set(zip(i.tolist(), j.tolist()))
+        assert all((a, b) in pairs for a, near in best.items() for b, _ in near)
+        assert len(pairs) < 1.5 * 6 * 60
