@@ -227,3 +227,40 @@ def test_right_answers_arrive(three):
     answers = P.classify_hybrid(three[0], three[1], nearest, k=3)
     scored = answers.join(three[1].select("row_id", "label"), "row_id")
     assert fold_accuracy(scored, []).first()["accuracy"] > 0.85
+
+
+def _copied(spark, copies):
+    """70 different rows, each ``copies`` times, with a rule as label."""
+    rows = spark.range(70 * copies).selectExpr("id AS row_id", "cast(id % 10 AS double) a", "cast(id % 7 AS double) b")
+    return rows.selectExpr("row_id", "cast(a + b >= 8 AS int) AS label", "array(a, b) AS features")
+
+
+@pytest.mark.parametrize("name", ["logistic", "balanced", "forest", "boosted"])
+def test_fits_see_equal_rows_once(spark, monkeypatch, name):
+    """What a fit passes over does not grow with copies, and every copy counts."""
+    seen = []
+    whole = M.equal_rows
+
+    def counted(rows, *more):
+        found = whole(rows, *more)
+        seen.append((found.count(), found.agg(F.sum("_weight")).first()[0]))
+        return found
+
+    monkeypatch.setattr(M, "equal_rows", counted)
+    monkeypatch.setattr(M, "BAG_SLICES", 8)
+    data = _copied(spark, 300)
+    scored = FITS[name](data).score(data.limit(70)).collect()
+    assert np.mean([r["pred"] == r["label"] for r in scored]) > 0.85
+    [(rows, weight)] = seen
+    assert rows <= 70 * 8 and weight == 21_000
+
+
+def test_weights_stand_for_copies(spark):
+    """The fit of copied rows is that of the same rows in one go, with the penalty that their number calls for."""
+    data = _copied(spark, 3).where("row_id % 70 < 35 OR row_id < 70")
+    x = np.array([r["features"] for r in data.collect()])
+    y = np.array([r["label"] for r in data.collect()])
+    fitted = M.fit_logistic(data, C=0.3).model
+    w, b = np.array(fitted.coefficients), fitted.intercept
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(0.3 * x.T @ (p - y) + w).max() < 2e-2 and abs((p - y).sum()) < 2e-2
