@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabfold.functions.text import summary_hp, summary_model
 from tabfold.models import estimators as M
+from tabfold.models.overlap import overlapped
 from tabfold.operators.cleaning import head_fraction, split_target
-from tabfold.operators.evaluation import fold_accuracy
 from tabfold.operators.neighbors import k_nearest, vote_uniform
 from tabfold.operators.sampling import stratified_kfold, test_rows, train_rows
 from tabfold.plans import prompting
@@ -48,13 +49,23 @@ def benchmark_grid(datasets: DataFrame, folds: int, methods: list[str]) -> DataF
 
 
 def knn_fold_accuracy(folded: DataFrame, k: int = K_NEIGHBORS, **sizes) -> DataFrame:
-    """``fold, accuracy, n_rows`` of the k-neighbour vote, all folds in one search."""
+    """``fold, accuracy, n_rows`` of the k-neighbour vote, all folds in one search.
+
+    Equal rows of one fold have equal neighbours: one of them is searched for all, and their labels are counted.
+    """
+    asked = folded.groupBy("features", "fold", "label").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
+    asked = asked.groupBy("features", "fold").agg(
+        F.min("row_id").alias("row_id"), F.collect_list(F.struct("label", "n")).alias("counts")
+    )
+    asked = stage(asked, "asked")
     found = k_nearest(
-        folded, folded, k, test_id="row_id", train_id="row_id", payload="label", group="fold", **sizes
+        asked, folded, k, test_id="row_id", train_id="row_id", payload="label", group="fold", **sizes
     )
-    truth = folded.select("row_id", "label", "fold")
-    scored = vote_uniform(found).withColumnRenamed("test_id", "row_id").join(truth, "row_id")
-    return fold_accuracy(scored, ["fold"])
+    scored = vote_uniform(found).withColumnRenamed("test_id", "row_id").join(asked.select("row_id", "fold", "counts"), "row_id")
+    total = lambda counts: F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    hits, rows = total(F.filter("counts", lambda c: c["label"].eqNullSafe(F.col("pred")))), total(F.col("counts"))
+    sums = scored.groupBy("fold").agg(F.sum(hits).alias("hits"), F.sum(rows).alias("n_rows"))
+    return sums.select("fold", (F.col("hits") / F.col("n_rows")).alias("accuracy"), "n_rows")
 
 
 def _predict(method: str, train: DataFrame, test: DataFrame, settings: dict) -> DataFrame:
@@ -82,26 +93,40 @@ def _cell(method: str, folded: DataFrame, fold: int, settings: dict) -> DataFram
     )
 
 
-def benchmark_cells(
+def benchmark_jobs(
     folded: DataFrame, dataset: str, wanted: dict[str, list[int]], settings: dict | None = None
-) -> Iterator[DataFrame]:
-    """Result rows of the ``wanted`` folds by method over a folded table, one frame after the other.
+) -> list[tuple[str, Callable[[], DataFrame]]]:
+    """Named jobs that give the result rows of the ``wanted`` folds by method over a folded table.
 
-    Neighbour votes of all folds come from one search; every other frame is one cell, fitted when it is asked for.
+    Neighbour votes of all folds come from one search; every other job is one cell, fitted when it is called.
     """
     settings = settings or {}
     unknown = set(wanted) - set(_FITTED) - set(_PROMPTED) - {"KNN", "MetaSelectorLLM"}
     if unknown:
         raise ValueError(f"unknown methods: {sorted(unknown)}")
-    for method, folds in wanted.items():
+
+    def rows(method: str, folds: list[int]) -> DataFrame:
         chosen = settings.get(method, {})
-        named = [F.lit(dataset).alias("dataset"), "fold", F.lit(method).alias("method"), "accuracy", "model", "hyperparameters"]
-        if method == "KNN" and folds:
+        if method == "KNN":
             part = knn_fold_accuracy(folded, **chosen).where(F.col("fold").isin(folds))
-            yield part.select("fold", "accuracy", F.lit("").alias("model"), F.lit("").alias("hyperparameters")).select(named)
+            part = part.select("fold", "accuracy", F.lit("").alias("model"), F.lit("").alias("hyperparameters"))
         else:
-            for fold in folds:
-                yield _cell(method, folded, fold, chosen).select(named)
+            part = _cell(method, folded, folds[0], chosen)
+        return part.select(F.lit(dataset).alias("dataset"), "fold", F.lit(method).alias("method"), "accuracy", "model", "hyperparameters")
+
+    jobs = []
+    for method, folds in wanted.items():
+        for some in ([folds] if method == "KNN" and folds else [[f] for f in folds]):
+            jobs.append((f"{dataset} {method} {some}", partial(rows, method, some)))
+    return jobs
+
+
+def benchmark_cells(
+    folded: DataFrame, dataset: str, wanted: dict[str, list[int]], settings: dict | None = None
+) -> Iterator[DataFrame]:
+    """The frames of ``benchmark_jobs``, one after the other."""
+    for _, job in benchmark_jobs(folded, dataset, wanted, settings):
+        yield job()
 
 
 def benchmark_table(
@@ -122,11 +147,12 @@ def remaining_cells(done: DataFrame, datasets: DataFrame, folds: int, methods: l
 
 
 def resume_benchmark(
-    data: DataFrame, dataset: str, methods: list[str], out: str, *, folds: int = N_SPLITS, settings: dict | None = None
+    data: DataFrame, dataset: str, methods: list[str], out: str, *, folds: int = N_SPLITS, settings: dict | None = None,
+    open_fits: int = 1,
 ) -> DataFrame:
     """Appends the cells of one table that ``out`` lacks, each as it is done; returns all results in ``out``.
 
-    A run that breaks off keeps the cells it has finished, and the next goes on from there: folds follow from the rows and are
+    With ``open_fits`` cells are open side by side, and one that fails raises when the others are done.  A run that breaks off keeps the cells it has finished, and the next goes on from there: folds follow from the rows and are
     the same again.
     """
     spark = data.sparkSession
@@ -137,8 +163,21 @@ def resume_benchmark(
     if todo:
         folded = stage(stratified_kfold(data, "label", "row_id", folds), "benchmark-folds")
         wanted = {m: [c["fold"] for c in todo if c["method"] == m] for m in methods}
-        for part in benchmark_cells(folded, dataset, wanted, settings):
-            sink_results(part.coalesce(1), out)
+        one_at_a_time = Lock()  # two jobs must not append to one folder at once
+
+        def append(job: Callable[[], DataFrame]) -> None:
+            done = stage(job().coalesce(1), "cells")
+            with one_at_a_time:
+                sink_results(done, out)
+
+        jobs = [(name, partial(append, job)) for name, job in benchmark_jobs(folded, dataset, wanted, settings)]
+        if open_fits == 1:
+            for _, job in jobs:
+                job()
+        else:
+            errors = [error for _, error in overlapped(spark, jobs, open_fits) if error is not None]
+            if errors:
+                raise RuntimeError("; ".join(errors))
     return scan_results(spark, out)
 
 

@@ -62,3 +62,21 @@ def test_folders_resume(spark, blobs, tmp_path):
     left = B.remaining_cells(afresh, spark.createDataFrame([("two",)], "dataset string"), 3, ["KNN", "LR"])
     assert _cells(left) == {("two", 2, "KNN"): 1, **{("two", f, "LR"): 1 for f in range(3)}}
     assert afresh.where(F.col("accuracy") < 0.9).count() == 0
+
+
+def test_cells_side_by_side(spark, blobs, tmp_path):
+    done = B.resume_benchmark(blobs, "d", ["LR", "KNN"], f"{tmp_path}/out", folds=3, open_fits=4)
+    assert _cells(done) == {("d", f, m): 1 for f in range(3) for m in ("LR", "KNN")}
+
+
+def test_equal_rows_are_searched_once(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("id AS row_id", "cast(id % 3 = 0 AS int) AS label", "array(cast(id % 5 AS double)) AS features", "cast(id % 2 AS int) AS fold")
+    rows = rows.cache()
+    near = B.k_nearest(rows, rows, 3, test_id="row_id", train_id="row_id", payload="label", group="fold")
+    truth = B.vote_uniform(near).withColumnRenamed("test_id", "row_id").join(rows, "row_id")
+    expected = truth.groupBy("fold").agg(F.avg((F.col("pred") == F.col("label")).cast("double")), F.count(F.lit(1)))
+    asked, real = [], B.k_nearest
+    monkeypatch.setattr(B, "k_nearest", lambda test, *rest, **more: (asked.append(test.count()), real(test, *rest, **more))[1])
+    found = B.knn_fold_accuracy(rows)
+    assert asked == [10]
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in expected.collect()}
