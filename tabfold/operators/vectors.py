@@ -88,7 +88,7 @@ def list_pairs(
     chunk_rows: int = CHUNK_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The pairs ``test_id, train_id, low, high`` that ``vector_topk_ivf`` measures."""
+    """The pairs ``test_id, train_id, low, high`` that ``vector_topk_ivf`` measures, see ``measured``."""
     left = queries.select(F.col(query_id).alias("test_id"), _as_doubles(embedding))
     right = stored.select(F.col(stored_id).alias("train_id"), _as_doubles(embedding))
     count = right.count()
@@ -131,6 +131,11 @@ def vector_topk_ivf(
     """
     names = dict(query_id=query_id, stored_id=stored_id, embedding=embedding)
     pairs = list_pairs(queries, stored, k, **names, lists=lists, nprobe=nprobe, chunk_rows=chunk_rows, block_rows=block_rows)
+    return measured(pairs, queries, stored, k, **names)
+
+
+def measured(pairs: DataFrame, queries: DataFrame, stored: DataFrame, k: int, *, query_id: str, stored_id: str, embedding: str) -> DataFrame:
+    """The k nearest among ``pairs`` (of ``list_pairs``), by their vectors."""
     left = queries.select(F.col(query_id).alias("test_id"), _as_doubles(embedding))
     right = stored.select(F.col(stored_id).alias("train_id"), _as_doubles(embedding))
     fields = _Fields(left.schema["test_id"].dataType, right.schema["train_id"].dataType, None, None)

@@ -212,3 +212,13 @@ def test_bounded_rows_leave_few_pairs(grouped):
         pairs = set(zip(i.tolist(), j.tolist()))
         assert all((a, b) in pairs for a, near in best.items() for b, _ in near)
         assert len(pairs) < 1.5 * 6 * 60
+
+
+def test_the_registered_lists_are_scanned_once(spark, monkeypatch):
+    """Pairs are made once, for the queries of the contract against all vectors."""
+    from tabfold.registry import search
+
+    made, real = [], search.list_pairs
+    monkeypatch.setattr(search, "list_pairs", lambda queries, stored, *a, **b: (made.append((queries.count(), stored.count())), real(queries, stored, *a, **b))[1])
+    [row] = search.vector_topk_ivf(spark, "/root/testdata/sf0.01").collect()
+    assert made == [(10, 500)] and all(row)
