@@ -109,3 +109,30 @@ def test_one_prompt_for_most_rows(spark):
     prompts = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("p"), "id")).alias("prompt"))
     rows = P.score_prompts(prompts, lambda texts: [t.upper() for t in texts])
     assert rows.where("reply = upper(prompt)").select("id").distinct().count() == rows.count() == 4000
+
+
+def test_files_of_calls_become_few(spark, tmp_path):
+    calls, folder = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+    prompts = spark.range(600).select(F.concat(F.lit("q"), "id").alias("prompt"))
+    rows = P.score_prompts(prompts, _noting(calls), batch_rows=2, parallelism=3, ledger=folder)
+    assert rows.where("reply = concat(prompt, '!')").count() == 600 and len(_asked(calls)) == 600
+    kept = [n for _, _, names in os.walk(folder) for n in names if not n.startswith((".", "_"))]
+    assert len(kept) == 3, "300 calls of three tasks leave a file each"
+    assert scan_ledger(spark, folder).where("reply IS NOT NULL").count() == 600
+    P.score_prompts(prompts, _noting(calls), ledger=folder).count()
+    assert len(_asked(calls)) == 600
+
+
+def test_neighbouring_equal_prompts_are_one(spark, tmp_path):
+    from tabfold.plans.ledger import _task
+
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+    scan_ledger(spark, ledger)
+    rows = spark.range(40).select(F.format_string("h%02d", (F.col("id") / 2).cast("int")).alias("prompt_hash"), F.lit("p").alias("prompt"))
+    work = _task(_noting(calls), ledger, 3, 2, "run", replies=True)
+    for _ in range(2):
+        told = rows.coalesce(1).sortWithinPartitions("prompt_hash").mapInArrow(work, "prompt_hash string, reply string, error string").collect()
+        assert sorted(r["prompt_hash"] for r in told) == [f"h{i:02d}" for i in range(20)] and {r["reply"] for r in told} == {"p!"}
+    assert len(_asked(calls)) == 20
