@@ -222,3 +222,38 @@ def test_the_registered_lists_are_scanned_once(spark, monkeypatch):
     monkeypatch.setattr(search, "list_pairs", lambda queries, stored, *a, **b: (made.append((queries.count(), stored.count())), real(queries, stored, *a, **b))[1])
     [row] = search.vector_topk_ivf(spark, "/root/testdata/sf0.01").collect()
     assert made == [(10, 500)] and all(row)
+
+
+def test_copies_of_a_test_row_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(60, 3))[rng.integers(0, 60, 900)]
+    data = spark.createDataFrame([(i, i % 3, p.tolist()) for i, p in enumerate(points)], "id int, fold int, features array<double>")
+    searched = []
+    scan = N.scan
+    monkeypatch.setattr(N, "scan", lambda left, *rest: (searched.append(left.count()), scan(left, *rest))[1])
+    near = N.k_nearest(data, data, 4, test_id="id", train_id="id", group="fold", payload="fold", chunk_rows=50, block_rows=40)
+    rows = near.collect()
+    assert searched and searched[0] <= 180, "60 points in three folds"
+    assert len(rows) == 3600
+    for r in rows:
+        held = [j for j in range(900) if j % 3 != r["test_id"] % 3]
+        gaps = np.sqrt(((points[held] - points[r["test_id"]]) ** 2).sum(axis=1))
+        order = sorted(zip(gaps.tolist(), held))
+        assert (r["dist"], r["train_id"]) == order[r["rank"] - 1] and r["payload"] == r["train_id"] % 3
+
+
+def test_few_pairs_are_measured_in_two_dimensions(monkeypatch):
+    """Points far from the pivot beside their gaps: single precision leaves most of a neighbourhood open."""
+    rng = np.random.default_rng(2)
+    points = np.stack([rng.integers(0, 25, 5000).astype(float), rng.uniform(-1000, 10000, 5000)], axis=1)
+    coded = Q.Coded(*Q.encode(points, points[0]), points[0])
+    left_open = []
+    pick = np.flatnonzero
+    monkeypatch.setattr(Q.np, "flatnonzero", lambda a: (left_open.append(np.count_nonzero(a)) if a.ndim == 2 else None, pick(a))[1])
+    exact = np.sqrt(((points[:200, None] - points[None]) ** 2).sum(axis=2))
+    bound = np.sort(exact, axis=1)[:, 2]
+    test = Q.Coded(coded.codes[:200], coded.step[:200], coded.left_out[:200], coded.pivot)
+    i, j, _, _ = Q.candidates(test, coded, 3, bound)
+    assert sum(left_open) < 200 * 6
+    found = set(zip(i.tolist(), j.tolist()))
+    assert all((a, int(b)) in found for a in range(200) for b in np.argsort(exact[a], kind="stable")[:3])
