@@ -257,3 +257,8 @@ def test_few_pairs_are_measured_in_two_dimensions(monkeypatch):
     assert sum(left_open) < 200 * 6
     found = set(zip(i.tolist(), j.tolist()))
     assert all((a, int(b)) in found for a in range(200) for b in np.argsort(exact[a], kind="stable")[:3])
+
+    left_open.clear()  # a loose bound is made tight by some of the rows
+    again = set(zip(*(a.tolist() for a in Q.candidates(test, coded, 3, np.full(200, 5000.0))[:2])))
+    assert sum(left_open) < 200 * 50
+    assert all((a, int(b)) in again for a in range(200) for b in np.argsort(exact[a], kind="stable")[:3])
