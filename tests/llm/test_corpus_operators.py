@@ -258,6 +258,45 @@ def test_short_and_number_rich_items(spark):
     assert compare(leaked, con, decontam.leaks_sql()) == len(found)
 
 
+def test_few_documents_are_looked_at_and_no_leak_is_lost(spark, monkeypatch):
+    plain = "the river runs past an old mill where people met in spring and talked about the harvest of that year"
+    items = [
+        (1, ITEM),
+        (2, "Why did ΟΔΟΣ. come (so late) to town that night?"),
+        (3, "... ... ... !!! ?"),
+        (4, "Add 1 2 then 3 4 or 5 6 also 7 8 up."),
+        (5, "a.b.c.d.e f.g"),
+        (6, "Of the Anna in the Berta or the Carla by the Dora with the Emma."),
+    ]
+    docs = [
+        (1, f"{plain} {ITEM}"),
+        (2, f"{plain}. Why did οδος. come (so late) to town that night?"),
+        (3, f"{plain}\n... ... ...\t!!! ? {plain}"),
+        (4, f"{plain}. Add 1 2 then 3 4 or 5 6 also 7 8 up."),
+        (5, "A.b.c.d.e f.g."),
+        (6, "Of the Xenia in the Ylva or the Zora by the Wanda with the Vera."),
+        (7, f"{plain} " + "." * 200_000 + "x"),
+        (None, OTHER),
+        (9, ITEM[: len(ITEM) // 2]),
+        (9, f"{plain} {ITEM[len(ITEM) // 3 :]}"),
+        *[(i, f"{plain} {i}") for i in range(10, 60)],
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    looked_at = []
+    inner = decontam._suspects
+    monkeypatch.setattr(decontam, "_suspects", lambda *a: looked_at.append(inner(*a)) or looked_at[-1])
+    for own in (items, [r for r in items if r[0] != 3]):  # the third is in every text, as far as tokens tell
+        bench = spark.createDataFrame(own, "item_id long, text string")
+        leaked = decontam.leaks(docs, bench)
+        con = duckdb.connect()
+        con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+        con.register("benchmark", bench.toPandas())
+        assert compare(leaked, con, decontam.leaks_sql()) >= 5
+        found = {(r["doc_id"], r["item_id"]) for r in leaked.collect()}
+        assert {(1, 1), (4, 4), (5, 5), (6, 6), (None, 1), (9, 1)} <= found and ((3, 3) in found) == (len(own) == 6)
+    assert looked_at[0].count() == docs.count() and looked_at[1].count() < 12
+
+
 def test_leaks_hold_all_items_found_as_text(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
