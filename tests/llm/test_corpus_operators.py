@@ -73,6 +73,29 @@ def test_repeats_of_whole_documents(spark):
         assert (own["n_bytes"], own["n_removed"], own["n_spans"], own["kept_sha256"]) == expected
 
 
+def test_a_context_of_many_documents_is_not_shuffled_by_its_key(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    notice = word(120)
+    texts = [f"{word(25)} {notice} {word(25)}" for _ in range(300)]
+    texts += [f"{word(25)} {notice[:60]}{notice[61:]} {word(25)}" for _ in range(3)] + [word(90) for _ in range(30)]
+    hot = []
+    inner = suffix.join_popular
+
+    def spy(left, right, on, is_popular):
+        rest = right.where(~is_popular).select(*on)
+        hot.append((on, left.join(rest, on).groupBy(*on).count().agg({"count": "max"}).first()[0] or 0))
+        return inner(left, right, on, is_popular)
+
+    monkeypatch.setattr(suffix, "join_popular", spy)
+    found = suffix.remove_repeats(_docs(spark, texts), length=30, gram=8).collect()
+    assert [on for on, _ in hot] == [["gram"], ["gram", "context"]] and all(most < 50 for _, most in hot)
+    raw = [t.encode() for t in texts]
+    masks = _covered(raw, 30)
+    for r in found:
+        assert bytes(r["kept_text"]) == bytes(c for c, m in zip(raw[r["doc_id"]], masks[r["doc_id"]]) if not m)
+
+
 def test_repeats_cut_at_whole_code_points_and_repeated_rows(spark):
     core = "é" * 40
     docs = _docs(spark, ["1" + core + "2", "3" + core + "4", "lone", "twice" * 9, "twice" * 9], [0, 1, 2, 3, 3])
