@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -86,6 +88,20 @@ def test_kernel_with_large_offsets():
     assert got == expected
 
 
+@pytest.mark.parametrize("copies", [1, 1024])
+def test_kernel_holds_few_matrices_of_pairs(copies):
+    rng = np.random.default_rng(8)
+    train, test = np.repeat(rng.normal(size=(16384 // copies, 64)), copies, axis=0), rng.normal(size=(512, 64))
+    tracemalloc.start()
+    i, j, d = N.best_in_chunk(test, train, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # a matrix of pairs is 16 MB
+    expected = _brute(test[:40], train, 5)
+    for row in range(40):
+        assert [(int(b), round(float(c), 9)) for b, c in zip(j[i == row], d[i == row])] == expected[row]
+
+
 def test_votes(spark):
     rows = [(1, 0.5, 7), (1, 0.5, 9), (1, 2.0, 9), (1, 2.0, 7), (2, 0.0, 5), (2, 0.1, 4), (2, 0.1, 4), (3, 1.0, 8), (3, 3.0, 2), (3, 3.0, 2)]
     near = spark.createDataFrame(rows, "test_id int, dist double, payload int")
