@@ -1,12 +1,13 @@
 """Replies asked for once."""
 
+import json
 import os
 import threading
 import time
 
 from pyspark.sql import functions as F
 
-from tabfold.plans import prompting as P
+from tabfold.plans import ledger, prompting as P
 from tabfold.plans.ledger import NO_PROMPT, scan_ledger
 
 
@@ -136,3 +137,10 @@ def test_neighbouring_equal_prompts_are_one(spark, tmp_path):
         told = rows.coalesce(1).sortWithinPartitions("prompt_hash").mapInArrow(work, "prompt_hash string, reply string, error string").collect()
         assert sorted(r["prompt_hash"] for r in told) == [f"h{i:02d}" for i in range(20)] and {r["reply"] for r in told} == {"p!"}
     assert len(_asked(calls)) == 20
+
+
+def test_a_line_of_a_journal_is_what_the_encoder_writes():
+    rows = [("a" * 64, '{"classification": 1}', None), ("b" * 64, None, 'ValueError: é\n"q" %s \\  '), ("c", "", None)]
+    line = ledger._line(rows)
+    assert line.endswith(b"]\n") and line.count(b"\n") == 1
+    assert json.loads(line) == [dict(zip(ledger._KINDS.names, row)) for row in rows]
