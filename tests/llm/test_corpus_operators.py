@@ -497,6 +497,21 @@ def test_pipeline_removes_shared_passages_of_short_words(spark):
     assert all(kept[i] == text for i, text in rows[3:])
 
 
+def test_pipeline_carries_one_text_through_the_shuffles(spark, monkeypatch):
+    inner, seen = suffix.remove_repeats, []
+
+    def spy(docs, **settings):
+        seen.append(docs.schema)
+        return inner(docs, **settings)
+
+    monkeypatch.setattr(suffix, "remove_repeats", spy)
+    docs = spark.createDataFrame([(1, "en", "one text", 8), (2, "de", None, 0)], "doc_id long, lang string, text string, n_chars int")
+    after = corpus_pipeline.suffix_dedup(spark, docs, SMALL)
+    assert after.dtypes == docs.dtypes
+    assert {r["doc_id"]: (r["lang"], r["text"], r["n_chars"]) for r in after.collect()} == {1: ("en", "one text", 8), 2: ("de", "", 0)}
+    assert [str(schema).count("'text'") for schema in seen] == [1]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, function in corpus_pipeline.STAGES[:-1]:
