@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
@@ -19,6 +20,23 @@ from tests.oracle import compare, connect
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_spelling_runs_are_whole_and_branches_are_told_by_letters(spark):
+    text = "short ABCDEFGH \u00c0BCDEFG stra\u00dfen_Strassen x\u00d7YZabcd 1abcdefg2 \u00e9l\u00e8vesABC " * 3
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    expected = []
+    for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text):
+        run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+        h = zlib.crc32(f"1:{run}".encode())
+        word = run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run
+        expected += [word] * (len(word) >= 7)
+    assert sorted(r["word"] for r in spelling.disturbed_words(docs, 7).collect()) == sorted(expected)
+    words = spark.createDataFrame([(w, 2) for w in ("strasse", "strassen", "strasser", "straszen")], "word string, n long")
+    sided = words.mapInArrow(spelling._word_ids, "id long, side byte, text string, n long")
+    edges, _ = spelling._trie(words, sided)
+    assert dict(edges.dtypes)["heads"] == "string"
+    assert {"".join(sorted(r["heads"])) for r in edges.where("ends AND heads IS NOT NULL").collect()} == {"nr"}
+
+
 @pytest.mark.parametrize("name", ["op11_spelling", "op12_conversation_trie", "op13_warc"])
 def test_queries_equal_their_sql(spark, name):
     assert compare(queries.QUERIES[name](spark, SMALL), connect(SMALL), queries.ORACLES[name])
