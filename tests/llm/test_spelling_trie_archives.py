@@ -45,6 +45,23 @@ def test_queries_equal_their_sql(spark, name):
 # --- spelling variants
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark's estimate of staged and exploded tables is far too low, so it must not decide."""
+    plans = []
+    kept = spelling.stage
+
+    def seen(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return kept(frame, name)
+
+    monkeypatch.setattr(spelling, "stage", seen)
+    docs = spark.createDataFrame([(i, "gardener " * 9 + "gardeners") for i in range(4)], "doc_id long, text string")
+    found = spelling.group_variants(docs, dominance=2)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.where("form IS NOT NULL").count() > 0
+    assert not [p for p in plans if "Broadcast" in p] and any("SortMergeJoin" in p for p in plans)
+
+
 def _one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
