@@ -68,6 +68,41 @@ def test_two_classes(two, name):
     assert _check(model.score(two[1]), model.labels) > 0.85
 
 
+@pytest.mark.parametrize("early", [False, True])
+def test_boosting_in_a_task_equals_pyspark(spark, monkeypatch, early):
+    """The same rounds, trees and probabilities, whoever grows them."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 400, size=(700, 3)) / 7
+    y = ((x[:, 0] > 20) ^ (x[:, 1] > 30) ^ (rng.random(700) < 0.1)).astype(int)
+    data = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]]) for i in range(700)] * 2, SCHEMA).cache()
+    shares = []
+    for rows in (M.GROWN_ROWS, 0):
+        monkeypatch.setattr(M, "GROWN_ROWS", rows)
+        model = M.fit_boosted_trees(data, max_iter=12, learning_rate=0.3, max_depth=4, early_stopping=early)
+        assert isinstance(model, M.TreesModel if rows else M.OneVsRestModel)
+        shares.append(np.array([r["probabilities"] for r in model.score(data).orderBy("row_id").collect()]))
+    assert np.abs(shares[0] - shares[1]).max() < 1e-6
+
+
+def test_forest_in_a_task_is_as_sure_as_pyspark(spark, three, monkeypatch):
+    shares = []
+    for rows in (M.GROWN_ROWS, 0):
+        monkeypatch.setattr(M, "GROWN_ROWS", rows)
+        model = M.fit_random_forest(three[0], n_estimators=60)
+        assert isinstance(model, M.TreesModel if rows else M.VectorModel)
+        shares.append(np.array([r["probabilities"] for r in model.score(three[1]).orderBy("row_id").collect()]))
+    assert np.abs(shares[0] - shares[1]).mean() < 0.05 and (shares[0].argmax(1) == shares[1].argmax(1)).mean() > 0.95
+
+
+def test_registered_cat_style_makes_all_rounds(spark, monkeypatch):
+    from tabfold.registry import models
+
+    made = []
+    monkeypatch.setattr(M, "fit_boosted_trees", lambda train, **settings: (made.append(settings), M.ConstantModel([0]))[1])
+    assert models.fit_cat_style(spark, "/root/testdata/sf0.001").count() > 0
+    assert [s["max_iter"] for s in made] == [600] * 5
+
+
 def test_penalty_strength(spark):
     """The optimum of the penalized loss has zero gradient."""
     rng = np.random.default_rng(0)
