@@ -153,6 +153,25 @@ def test_selector(two):
     assert fold_accuracy(out, []).first()["accuracy"] > 0.85
 
 
+def test_registered_selector_tries_the_baselines(spark, monkeypatch):
+    """Every fold tries the proposal and the six baselines and fits one of them."""
+    from tabfold.plans import selection
+    from tabfold.registry import models
+
+    tried = []
+
+    def scores(data, pool, **settings):
+        rows = pool.orderBy("ord").collect()
+        tried.append([r["model"] for r in rows])
+        scored = [(r["ord"], r["model"], r["hp"], r["why"], 0.5, "", None) for r in rows]
+        return spark.createDataFrame(scored, selection._SCORE_TYPE)
+
+    monkeypatch.setattr(selection, "evaluate_candidates", scores)
+    monkeypatch.setattr(selection, "calibrate", lambda train, labels, fit, n_rows: M.ConstantModel([0]))
+    assert models.meta_select_predict(spark, "/root/testdata/sf0.001").count() > 0
+    assert tried == [["lr", "rf", "rf", "hgb", "hgb", "lr", "knn"]] * 5
+
+
 def test_equal_settings_are_fitted_once(spark, two, monkeypatch):
     from tabfold.plans import selection
 
