@@ -84,6 +84,13 @@ def test_boosting_in_a_task_equals_pyspark(spark, monkeypatch, early):
     assert np.abs(shares[0] - shares[1]).max() < 1e-6
 
 
+def test_trees_refuse_gaps(spark, two):
+    model = M.fit_boosted_trees(two[0], max_iter=3)
+    assert isinstance(model, M.TreesModel)
+    with pytest.raises(Exception, match="NOT_NULL_ASSERT_VIOLATION"):
+        model.score(spark.createDataFrame([(1, 10, [1.0, None, 2.0])], SCHEMA)).collect()
+
+
 def test_forest_in_a_task_is_as_sure_as_pyspark(spark, three, monkeypatch):
     shares = []
     for rows in (M.GROWN_ROWS, 0):
